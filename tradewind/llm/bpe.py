@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import BYTE_VALUES, Hashes, passes, text_bytes
 
 #: Pieces whose encodings a worker remembers; the memo is emptied when full.
-MEMO = 300_000
+MEMO = 100_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -236,7 +236,7 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken") -> Da
         tokens = read_ranks(ranks)
         sizes = np.array([len(t) for t in tokens], np.int64)
         begin, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
+        for batch in passes(batches, "ids"):
             column = batch.column("ids")
             ids, rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             counts = sizes[ids]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one array pass handles; a longer single document is a pass of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -59,9 +59,12 @@ def _drop_staged() -> None:
 
 
 def passes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds at most `limit` text bytes or one row."""
+    """The batches again, cut so that each holds one row, or at most `limit` bytes of a
+    string column or elements of a list column."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         at = 0
         while at < len(sizes):
