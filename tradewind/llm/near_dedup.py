@@ -126,8 +126,13 @@ def near_dedup(docs: DataFrame, similar: int = SIMILAR, doc_id: str = "doc_id",
 
 def _links(docs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     """Confirmed links (a, b) that connect all nodes which share a cell and are similar."""
-    cells = nodes.select("id", "right", F.posexplode("left").alias("i", "x")).select("id", "i", "x", F.posexplode("right").alias("j", "y"))
-    cells = cells.select(F.xxhash64("i", "x", "j", "y").alias("cell"), "id")
+    tuples = nodes.select("id", F.size("left").alias("_half"), F.posexplode(F.concat("left", "right")).alias("_k", "_x"))
+    tuples = tuples.select("id", (F.col("_k") < F.col("_half")).alias("_left"), F.xxhash64("_k", "_x").alias("_tuple"))
+    # A tuple that one node alone has makes no shared cell; few tuples are left.
+    live = tuples.groupBy("_tuple").agg(F.min("id").alias("_p"), F.max("id").alias("_q")).where("_p < _q").select("_tuple")
+    live = staged(tuples.join(live, "_tuple"), "tuples")
+    left, right = (live.where(side).select("id", F.col("_tuple").alias(name)) for side, name in (("_left", "_x"), ("NOT _left", "_y")))
+    cells = staged(left.join(right, "id").select(F.xxhash64("_x", "_y").alias("cell"), "id"), "cells")
     hubs = cells.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
     shared = staged(cells.join(hubs, "cell"), "shared")
     pairs = staged(shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
