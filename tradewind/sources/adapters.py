@@ -57,6 +57,28 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS contact_id, CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 23 = 0 THEN CAST(c_custkey AS STRING) || '@g.us' ELSE CAST(c_custkey % 1100 AS STRING) || '@c.us' END AS chat,
                c_name AS name, CASE WHEN c_custkey % 29 = 0 THEN '' ELSE n_name END AS country, c_mktsegment AS segment
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # Supplier messages, of six shapes.
+    "messages": """
+        SELECT p_partkey AS message_id, CASE p_partkey % 6
+            WHEN 0 THEN 'Offer today' || chr(10) || p_name || ' EUR 5.95/btl' || chr(10) || 'Nescafé gold 7,50 € per pcs EXW Harbour'
+            WHEN 1 THEN '*' || p_name || '*' || chr(10) || 'Price: ' || CAST(p_size AS STRING) || ' dhs'
+            WHEN 2 THEN p_name || ' EUR 5 - 6'
+            WHEN 3 THEN 'We are looking to buy ' || p_name || ' at USD 4.10'
+            WHEN 4 THEN p_name || ' EUR 5 or EUR 7'
+            ELSE p_name || ' available' END AS text
+        FROM {part}""",
+    "term_lines": """
+        SELECT p_partkey AS line_id, CASE p_partkey % 8
+            WHEN 0 THEN 'MOQ ' || CAST(1 + p_size AS STRING) || ' cases, lead time 2-3 weeks'
+            WHEN 1 THEN 'Minimum mixed order USD 35,000; ex stock'
+            WHEN 2 THEN 'no minimum, can be mixed'
+            WHEN 3 THEN 'Minimum order 35.000 CHF'
+            WHEN 4 THEN 'min 1 FTL | delivery 10 working days, full pallets only'
+            WHEN 5 THEN 'MOQ: 2 containers'
+            WHEN 6 THEN 'delivery in 36 hours'
+            ELSE p_name END AS line,
+            CASE WHEN p_partkey % 3 = 0 THEN 'Lead time 5 days' ELSE '' END AS header, CASE WHEN p_partkey % 5 = 0 THEN 14 END AS default_days
+        FROM {part}""",
     # Parser results: one row for each order line.
     "parse_rows": """
         SELECT l_suppkey AS supplier, CASE WHEN l_returnflag = 'R' THEN 'Unrecognised' WHEN l_linestatus = 'O' THEN 'Partial' ELSE 'Clean' END AS status,
