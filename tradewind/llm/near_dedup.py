@@ -23,8 +23,8 @@ from tradewind.llm.graph import components
 #: Words in a shingle, and the least similarity of a link in hundredths.
 WORDS, SIMILAR = 5, 75
 #: Tuples in each of the two collections, and minhashes in a tuple. A pair at similarity
-#: s shares a cell with probability (1 - (1 - s ** ROWS) ** TUPLES) ** 2: 0.9995 at 0.75.
-TUPLES, ROWS = 10, 2
+#: s shares a cell with probability (1 - (1 - s ** ROWS) ** TUPLES) ** 2: 0.99998 at 0.75.
+TUPLES, ROWS = 14, 2
 #: Shingles in a block of a cluster whose links the hubs did not settle.
 BLOCK = 200_000
 
