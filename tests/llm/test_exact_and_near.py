@@ -65,7 +65,7 @@ def test_near_dedup(docs, rows, nothing):
 
 def test_near_dedup_of_a_crowd(spark):
     """Many texts around one passage, in more components than the hubs can settle."""
-    from conftest import prose
+    from texts import prose
 
     passage = prose(1, 120)
     crowd = [(k, f"{passage} {prose(1000 + k, 6 + k % 40)}") for k in range(120)]

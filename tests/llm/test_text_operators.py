@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import prose
+from texts import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
