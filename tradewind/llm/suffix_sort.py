@@ -25,47 +25,52 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_direct(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number, zeros after the end; one more place."""
+    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
+    out = padded[: len(text) + 1] << np.uint64(56)
+    for k in range(1, 8):
+        out |= padded[k : len(text) + 1 + k] << np.uint64(56 - 8 * k)
+    return out
+
+
+def sort_direct(key: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """The places in the order of their suffixes' first `depth` bytes (to the next multiple
-    of eight); suffixes that agree so far stay in order of place."""
+    of eight); suffixes that agree so far stay in order of place. key is eight_bytes()."""
     if len(places) < 2:
         return places
-    padded = np.append(text, np.zeros(depth + 16, np.uint8))
-    shifts = [np.uint64(56 - 8 * k) for k in range(8)]
-
-    def key(at: np.ndarray) -> np.ndarray:
-        out = padded[at].astype(np.uint64) << shifts[0]
-        for k in range(1, 8):
-            out |= padded[at + k].astype(np.uint64) << shifts[k]
-        return out
-
-    order = places[np.argsort(key(places), kind="stable")]
-    first = key(order)
+    order = places[np.argsort(key[places], kind="stable")]
+    first = key[order]
     same = np.append(False, first[1:] == first[:-1])
+    at = np.flatnonzero(same | np.append(same[1:], False))
     done = 8
-    while done < depth:
-        tied = same | np.append(same[1:], False)
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(~same[at])  # tied runs are contiguous in `at`
+    while done < depth and len(at):
+        # Tied runs are contiguous in `at`; only runs whose next words differ are sorted.
         mine = order[at]
-        words = key(np.minimum(mine + done, len(text)))
-        ranked = np.lexsort((words, group))
-        order[at] = mine[ranked]
-        words, group = words[ranked], group[ranked]
-        same[at] = np.append(False, (words[1:] == words[:-1]) & (group[1:] == group[:-1]))
+        tied = same[at]
+        words = key[np.minimum(mine + done, len(key) - 1)]
+        group = np.cumsum(~tied)
+        differ = np.append(False, words[1:] != words[:-1]) & tied
+        if differ.any():
+            moved = np.zeros(group[-1] + 1, bool)
+            moved[group[differ]] = True
+            some = np.flatnonzero(moved[group])
+            ranked = some[np.lexsort((words[some], group[some]))]
+            order[at[some]] = mine[ranked]
+            words[some] = words[ranked]
+            same[at] = np.append(False, words[1:] == words[:-1]) & tied
+            at = at[same[at] | np.append(same[at][1:], False)]
         done += 8
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, key: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in order, exact to `depth` bytes at least."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     small = smaller_than_next(text)
-    direct = sort_direct(text, np.flatnonzero(small), depth)
+    direct = sort_direct(eight_bytes(text) if key is None else key, np.flatnonzero(small), depth)
     sizes = np.bincount(text, minlength=256)
     begins = np.cumsum(sizes) - sizes
     out = np.empty(n, np.int64)
@@ -114,24 +119,19 @@ def repeated_starts(text: np.ndarray, owner_end: np.ndarray, length: int) -> np.
     whole = np.arange(n) + length <= owner_end
     if not whole.any():
         return out
-    order = suffix_array(text, length)
+    key = eight_bytes(text)
+    order = suffix_array(text, length, key)
     order = order[whole[order]]
     if len(order) < 2:
         return out
-    # Adjacent common prefixes, as far as they matter: whether they reach `length`.
+    # Adjacent common prefixes, as far as they matter: whether they reach `length`. The
+    # last eight bytes may overlap those before them.
     a, b = order[:-1], order[1:]
-    alike = np.ones(len(a), bool)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    for k in range(0, length, 8):
-        live = np.flatnonzero(alike)
-        if not len(live):
-            break
-        width = min(8, length - k)
-        x, y = a[live] + k, b[live] + k
-        equal = padded[x] == padded[y]
-        for j in range(1, width):
-            equal &= padded[x + j] == padded[y + j]
-        alike[live] = equal
-    out[a[alike]] = True
-    out[b[alike]] = True
+    live = np.arange(len(a))
+    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length >= 8 else [])]:
+        live = live[key[a[live] + k] == key[b[live] + k]]
+    if length < 8:
+        live = live[(key[a] >> np.uint64(64 - 8 * length)) == (key[b] >> np.uint64(64 - 8 * length))]
+    out[a[live]] = True
+    out[b[live]] = True
     return out

@@ -129,7 +129,12 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, examples: int = EXAMP
 
 
 def _index(rows: pa.Table, base: float) -> Index:
-    docs, hashes = _words(rows["text"])
+    parts, at = [], 0
+    for batch in passes(iter(rows.to_batches())):
+        own, found = _words(batch.column("text"))
+        parts.append((own + at, found))
+        at += batch.num_rows
+    docs, hashes = (np.concatenate(x) for x in zip(*parts))
     y = rows["toxic"].to_numpy().astype(np.float64)
     n = len(y)
     uniq, term = np.unique(hashes, return_inverse=True)
