@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed; hashes are joined globally; sentences
-that a repeated span covers go, but for the span's first occurrence.
+A span is a run of sentences just long enough: the shortest from each sentence on and the
+shortest up to each sentence. Spans are hashed; hashes are joined globally; sentences that
+a repeated span covers go, but for the span's first occurrence.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tradewind.llm.common import Hashes, passes, signed, text_bytes, words
 
 #: Sentences in a span, the words it must have, and the words after which a long sentence
 #: is cut, so that a span covers a passage of some fifty words however it is punctuated.
+#: Spans of short sentences take in further ones until they have the words.
 SPAN, LEAST_WORDS, CUT = 3, 12, 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -37,35 +39,52 @@ def _sentences(data: np.ndarray, offsets: np.ndarray):
     return low, np.append(low[1:], n), docs[low], (starts, ends, hashes)
 
 
+def _spans(owner: np.ndarray, weights: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-but-one sentence of the shortest runs, from each sentence on and up to
+    each sentence, that weigh `size` and have LEAST_WORDS words; a text without any is one.
+
+    A shared passage that has enough is covered whole: the run from its first sentence
+    covers those up to that run's end, and the run up to any later one lies inside it.
+    """
+    n = len(owner)
+    weight, length = (np.append(0, np.cumsum(x)) for x in (weights, lengths))
+    begin, end = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
+    k = np.arange(n)
+    to = np.maximum(np.searchsorted(weight, weight[:-1] + size), np.searchsorted(length, length[:-1] + LEAST_WORDS))
+    since = np.minimum(np.searchsorted(weight, weight[1:] - size, "right"), np.searchsorted(length, length[1:] - LEAST_WORDS, "right")) - 1
+    on, up = to <= end, since >= begin
+    whole = (k == begin) & ~on
+    pairs = np.concatenate([k[on] * (n + 1) + to[on], since[up] * (n + 1) + k[up] + 1, k[whole] * (n + 1) + end[whole]])
+    pairs = np.unique(pairs)
+    return pairs // (n + 1), pairs % (n + 1)
+
+
 def spans(docs: DataFrame, size: int = SPAN) -> DataFrame:
-    """(doc, text_hash, at, span): each run of `size` sentences with enough words, by the
-    number of its first sentence."""
+    """(doc, text_hash, at, span): each span by its place, the number of its first sentence
+    times 2 ** 32 and the number of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
             low, high, owner, (_, _, hashes) = _sentences(*text_bytes(batch.column("text")))
-            if len(low) < size:
+            if not len(low):
                 continue
-            k = np.arange(len(low) - size + 1)
-            a, b = low[k], high[k + size - 1]
-            real = (owner[k] == owner[k + size - 1]) & (b - a >= LEAST_WORDS)
-            k, a, b = k[real], a[real], b[real]
+            k, to = _spans(owner, np.ones(len(low), np.int64), high - low, size)
             own = owner[k]
-            begin = np.searchsorted(owner, own)
+            at = (k - np.searchsorted(owner, own) << 32) + to - k
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), batch.column("text_hash").take(take), pa.array((k - begin).astype(np.int32)), pa.array(signed(Hashes(hashes).of(a, b)))],
+                [batch.column("doc").take(take), batch.column("text_hash").take(take), pa.array(at), pa.array(signed(Hashes(hashes).of(low[k], high[to - 1])))],
                 ["doc", "text_hash", "at", "span"],
             )
 
-    return docs.mapInArrow(run, "doc long, text_hash long, at int, span long")
+    return docs.mapInArrow(run, "doc long, text_hash long, at long, span long")
 
 
 def span_dedup(docs: DataFrame, size: int = SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_removed, kept_text for each row of docs.
 
     Words are runs of non-space bytes, A-Z as a-z; sentences end at . ! ? or a line's end,
-    or after CUT words. First is the smallest id, then the smallest place; null ids come
+    or after CUT words. A text too short for a span is one. First is the smallest id, then the smallest place; null ids come
     last. Null texts are empty. Rows that repeat id and text are one document. What stays
     of a changed text are its sentences with the space after them; other texts stay as
     they are. Empty input gives no rows.
@@ -95,9 +114,10 @@ def span_dedup(docs: DataFrame, size: int = SPAN, doc_id: str = "doc_id", text:
                     n_gone.append(0)
                     kept.append(raw[offsets[d] : offsets[d + 1]].decode())
                     continue
-                covered = np.zeros(b - a, bool)
-                for k in range(size):
-                    covered[np.array(marks) + k] = True
+                marks = np.array(marks)
+                first, number = marks >> 32, marks & 0xFFFFFFFF
+                edge = np.bincount(first, minlength=b - a + 1) - np.bincount(first + number, minlength=b - a + 1)
+                covered = np.cumsum(edge[:-1]) > 0
                 edges = np.append(starts[low[a:b]], offsets[d + 1])
                 edges[0] = offsets[d]
                 n_gone.append(int(covered.sum()))
