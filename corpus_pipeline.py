@@ -37,8 +37,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences."""
-    return pack_documents(docs)
+    """Token pieces with their ids and their place in sequences."""
+    return pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
