@@ -23,9 +23,13 @@ from tradewind.llm.common import passes, text_bytes, words
 EXAMPLES = 1500
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, IN_BLOCK = 15, 64
-#: Terms of the vector space: those most associated with the label in the examples, at
-#: least so many standard errors from chance and in at least so many examples.
-TERMS, CHANCE, LEAST_DF = 4000, 4.0, 5
+#: All words of the examples are terms. Those at least so many standard errors from chance
+#: under the label, in at least so many examples, weigh so many times their idf.
+CHANCE, LEAST_DF = 4.0, 5
+#: Terms in at least one of so many examples are multiplied as a matrix, not by postings.
+COMMON = 32
+#: Documents in one product with that matrix.
+TOGETHER = 128
 #: Bins of the calibration, and the score from which a document is predicted toxic.
 BINS, THRESHOLD = 8, 0.3
 
@@ -56,11 +60,13 @@ class Index:
     """Examples as unit TF-IDF vectors, by term and block."""
 
     terms: np.ndarray  # sorted term hashes
-    idf: np.ndarray
+    idf: np.ndarray  # over all documents, times the weight that the label lends a term
     starts: np.ndarray  # postings of term t in block b begin at starts[t * blocks + b]
     examples: np.ndarray
     weights: np.ndarray
     greatest: np.ndarray  # (terms, blocks)
+    row: np.ndarray  # of a term in dense, -1 for other than common terms
+    dense: np.ndarray  # (common terms, places in blocks): the weights of common terms once more
     ids: np.ndarray
     labels: np.ndarray
     edges: np.ndarray  # calibration: votes from edges[k] score levels[k]
@@ -71,14 +77,29 @@ class Index:
     def blocks(self) -> int:
         return self.greatest.shape[1]
 
+    def __getstate__(self) -> dict:
+        """The postings alone: what is made of them is many times their size."""
+        made = ("starts", "greatest", "row", "dense")
+        return {k: v for k, v in vars(self).items() if k not in made} | {"examples": self.examples.astype(np.int32), "df": np.diff(self.starts[:: self.blocks])}
+
+    def __setstate__(self, state: dict) -> None:
+        df = state.pop("df")
+        vars(self).update(state, examples=state["examples"].astype(np.int64))
+        self.starts, self.greatest, self.row, self.dense = _tables(np.repeat(np.arange(len(df)), df), self.examples, self.weights, len(df), len(self.labels))
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[terms]
         return weight / np.sqrt((weight * weight).sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (all that have a common term, if fewer) and their
-        cosines; equal cosines by example number."""
-        bounds = weights @ self.greatest[terms]
+        cosines; equal cosines by example number. shared: what common terms add to each
+        example's cosine; a block's bound is the greatest of it and of the other terms."""
+        row = self.row[terms]
+        if shared is None:
+            shared = weights[row >= 0] @ self.dense[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0]
+        bounds = shared.reshape(-1, IN_BLOCK).max(1) + weights @ self.greatest[terms].astype(np.float64)
         order = np.argsort(-bounds, kind="stable")
         best, sims = np.zeros(0, np.int64), np.zeros(0)
         at, wide = 0, 8
@@ -87,16 +108,20 @@ class Index:
                 break
             some = order[at : at + wide]
             cells = (terms[:, None] * self.blocks + some[None, :]).ravel()
-            low, count = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+            low = self.starts[cells]
+            count = self.starts[cells + 1] - low
             ends = np.cumsum(count)
-            rows = np.repeat(low - (ends - count), count) + np.arange(ends[-1])
-            sums = np.bincount(self.examples[rows], np.repeat(np.repeat(weights, len(some)), count) * self.weights[rows], len(self.labels))
-            found = np.flatnonzero(sums)
-            found = found[found != without]
+            rows = np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+            sums = shared + np.bincount(self.examples[rows], np.repeat(np.repeat(weights, len(some)), count) * self.weights[rows], len(shared))
+            found = (some[:, None] * IN_BLOCK + np.arange(IN_BLOCK)).ravel()
+            found = found[(sums[found] > 0) & (found != without)]
             best, sims = np.append(best, found), np.append(sims, sums[found])
+            if len(sims) > k:
+                keep = sims >= np.partition(sims, -k)[-k]
+                best, sims = best[keep], sims[keep]
             keep = np.lexsort((best, -sims))[:k]
             best, sims = best[keep], sims[keep]
-            at += wide
+            at, wide = at + wide, 2 * wide
         return best, sims
 
     def votes(self, best: np.ndarray, sims: np.ndarray) -> float:
@@ -125,32 +150,72 @@ def fit(documents: DataFrame, labels: DataFrame, held_out, examples: int = EXAMP
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = chosen[0].union(chosen[1]).hint("broadcast")  # at most 2 * examples rows of 12 bytes
     rows = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks()
-    return _index(rows, shares[1] / sum(shares.values())) if rows.num_rows else None
+    if not rows.num_rows:
+        return None
+    parts = _sample_words(rows)
+    terms = np.unique(parts[1])
+    return _index(rows, parts, *document_frequencies(texts, terms), shares[1] / sum(shares.values()))
+
+
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all texts each term (sorted hashes) is, and the number of texts."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = broadcast.value
+        total = np.zeros(len(terms) + 1, np.int64)  # the last counts the texts
+        for batch in passes(batches):
+            docs, hashes = _words(batch.column("text"))
+            total[:-1] += np.bincount(_rows(terms, hashes, docs)[1], minlength=len(terms))
+            total[-1] += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
 
+    counted = texts.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(terms) + 1, np.int64)
+    total[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return total[:-1], int(total[-1])
 
-def _index(rows: pa.Table, base: float) -> Index:
+
+def _sample_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts, at = [], 0
     for batch in passes(iter(rows.to_batches())):
         own, found = _words(batch.column("text"))
         parts.append((own + at, found))
         at += batch.num_rows
-    docs, hashes = (np.concatenate(x) for x in zip(*parts))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _tables(term: np.ndarray, examples: np.ndarray, weights: np.ndarray, terms: int, n: int) -> tuple[np.ndarray, ...]:
+    """starts, greatest, row and dense of an Index of n examples."""
+    blocks = -(-n // IN_BLOCK)
+    cell = term * blocks + examples // IN_BLOCK
+    starts = np.append(0, np.cumsum(np.bincount(cell, minlength=terms * blocks))).astype(np.int32)
+    greatest = np.zeros(terms * blocks)
+    np.maximum.at(greatest, cell, weights)
+    greatest = np.where(greatest > 0, np.nextafter(greatest.astype(np.float32), np.float32(2)), np.float32(0))  # no less than the weights
+    common = np.flatnonzero(np.bincount(term, minlength=terms) * COMMON >= n)
+    row = np.full(terms, -1)
+    row[common] = np.arange(len(common))
+    dense = np.zeros((len(common), blocks * IN_BLOCK))
+    some = row[term] >= 0
+    dense[row[term[some]], examples[some]] = weights[some]
+    return starts, greatest.reshape(terms, blocks), row, dense
+
+
+def _index(rows: pa.Table, parts: tuple[np.ndarray, np.ndarray], everywhere: np.ndarray, texts: int, base: float) -> Index:
+    docs, hashes = parts
     y = rows["toxic"].to_numpy().astype(np.float64)
     n = len(y)
-    uniq, term = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(docs * len(uniq) + term)
-    owner, term = pairs // len(uniq), pairs % len(uniq)
-    df = np.bincount(term, minlength=len(uniq))
-    toxic = np.bincount(term, y[owner], len(uniq))
-    share = y.mean()
-    chance = (toxic - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    strong = np.flatnonzero((df >= LEAST_DF) & (np.abs(chance) >= CHANCE))
-    strong = np.sort(strong[np.argsort(-np.abs(chance[strong]), kind="stable")[:TERMS]])
-    if not len(strong):
-        strong = np.array([df.argmax()])
-    terms = uniq[strong]
-    idf = np.log(1 + n / df[strong])
+    terms = np.unique(hashes)
+    if not len(terms):
+        terms, everywhere = np.zeros(1, np.uint64), np.ones(1, np.int64)
     owner, term, counts = _rows(terms, hashes, docs)
+    df = np.bincount(term, minlength=len(terms))
+    toxic = np.bincount(term, y[owner], len(terms))
+    share = y.mean()
+    chance = np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
+    idf = np.log(1 + texts / np.maximum(everywhere, 1)) * np.where((df >= LEAST_DF) & (chance >= CHANCE), chance, 1)
     weight = (1 + np.log(counts)) * idf[term]
     weight /= np.sqrt(np.bincount(owner, weight * weight, n))[owner]
     # Like examples into like blocks: by their heaviest term.
@@ -161,13 +226,10 @@ def _index(rows: pa.Table, base: float) -> Index:
     rank = np.lexsort((np.arange(n), heaviest))
     place = np.empty(n, np.int64)
     place[rank] = np.arange(n)
-    blocks = -(-n // IN_BLOCK)
-    cell = term * blocks + place[owner] // IN_BLOCK
-    order = np.lexsort((place[owner], cell))
-    starts = np.append(0, np.cumsum(np.bincount(cell, minlength=len(terms) * blocks)))
-    greatest = np.zeros(len(terms) * blocks)
-    np.maximum.at(greatest, cell, weight)
-    index = Index(terms, idf, starts, place[owner][order], weight[order], greatest.reshape(len(terms), blocks), rows["doc_id"].to_numpy()[rank], y[rank], np.array([0.0, 1.0]), np.array([0.0, 1.0]), base)
+    order = np.lexsort((place[owner], term))
+    examples, weights = place[owner][order], weight[order]
+    starts, greatest, row, dense = _tables(term[order], examples, weights, len(terms), n)
+    index = Index(terms, idf, starts, examples, weights, greatest, row, dense, rows["doc_id"].to_numpy()[rank], y[rank], np.array([0.0, 1.0]), np.array([0.0, 1.0]), base)
     # Each example's own vote without itself; bins of like votes, weighted to the base rate.
     votes = np.full(n, index.votes(np.zeros(0, np.int64), np.zeros(0)))
     cuts = np.searchsorted(owner, np.arange(n + 1))
@@ -202,12 +264,20 @@ def score(documents: DataFrame, index: Index | None, doc_id: str = "doc_id", tex
             if index:
                 docs, hashes = _words(batch.column("text"))
                 owner, term, counts = _rows(index.terms, hashes, docs)
+                weight = (1 + np.log(counts)) * index.idf[term]
+                weight /= np.sqrt(np.bincount(owner, weight * weight, n))[owner]
                 cuts = np.searchsorted(owner, np.arange(n + 1))
-                for d in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[d], cuts[d + 1]
-                    best, sims = index.nearest(term[a:b], index.vector(term[a:b], counts[a:b]))
-                    vote[d] = index.votes(best, sims)
-                    found[d] = (index.ids[best], index.labels[best].astype(np.int32), sims)
+                for first in range(0, n, TOGETHER):
+                    part = slice(cuts[first], cuts[min(first + TOGETHER, n)])
+                    row = index.row[term[part]]
+                    query = np.zeros((min(TOGETHER, n - first), len(index.dense)))
+                    query[owner[part][row >= 0] - first, row[row >= 0]] = weight[part][row >= 0]
+                    shared = query @ index.dense
+                    for d in (np.flatnonzero(np.diff(cuts[first : first + len(query) + 1])) + first).tolist():
+                        a, b = cuts[d], cuts[d + 1]
+                        best, sims = index.nearest(term[a:b], weight[a:b], shared=shared[d - first])
+                        vote[d] = index.votes(best, sims)
+                        found[d] = (index.ids[best], index.labels[best].astype(np.int32), sims)
                 vote = index.score(vote)
             lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(vote), *lists], ["doc_id", "score", "near_ids", "near_labels", "near_cosines"])
