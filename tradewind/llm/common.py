@@ -7,6 +7,7 @@ Python runs a few array operations per megabyte instead of a loop per word.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,16 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one array pass handles; a longer single document is a pass of its own.
 CHUNK = 1 << 20
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder is set instead.
+    Where that is unset and all tasks run in this process (tests), a temporary folder is
+    set instead; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tradewind-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,14 +47,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append((spark, path))
+    dropped_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped_at_exit(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Delete the folder, and the table over it, when the driver process ends."""
+    _STAGED.append((spark, path, table))
+
+
 @atexit.register
 def _drop_staged() -> None:
-    for spark, path in _STAGED:
+    for spark, path, table in _STAGED:
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

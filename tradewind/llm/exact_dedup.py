@@ -2,8 +2,9 @@
 
 The index is a Parquet table bucketed and sorted by digest, with one row for each
 distinct text ever seen. New rows are aggregated to distinct digests (map-side first, so
-a group of copies that holds a third of all rows shuffles as a few partial rows),
-anti-joined to the index by a sort-merge join that does not move the index, and appended.
+a group of copies that holds a third of all rows shuffles as a few partial rows) and
+written; the groups are anti-joined to the index by a sort-merge join that does not move
+the index, and appended.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import shared_dir
+from tradewind.llm.common import dropped_at_exit, shared_dir, staged
 
 #: Buckets of a new index; about one for each 256 MB of index rows at the target size.
 BUCKETS = 64
@@ -70,9 +71,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     spark = docs.sparkSession
     if index is None:
         index = DigestIndex(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", _buckets(spark))
+        dropped_at_exit(spark, index.path, index.table)
     digests = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"))
     groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index.append(groups)
+    # Written first: the anti-join would otherwise move below the aggregation, and all rows of
+    # a digest would meet in one task.
+    index.append(staged(groups, "groups"))
     return index.lookup(digests).select(
         "doc_id",
         "keep_id",
