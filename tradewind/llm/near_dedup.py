@@ -5,7 +5,8 @@ tuple of either collection, so TUPLES ** 2 tables need 2 * TUPLES * ROWS minhash
 with equal shingle sets are one node from the start, so copies are never paired. In each
 table cell the members are compared to the cell's hub only; after the links found this way
 are contracted, the nodes of cells that still hold several components meet in blocks,
-which misses no link between two components.
+which misses no link between two components. What is joined to cells, tuples and hubs is written
+before, so that adaptive execution can split the rows of one that holds many.
 """
 
 from __future__ import annotations
@@ -130,11 +131,11 @@ def _links(docs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     tuples = tuples.select("id", (F.col("_k") < F.col("_half")).alias("_left"), F.xxhash64("_k", "_x").alias("_tuple"))
     # A tuple that one node alone has makes no shared cell; few tuples are left.
     live = tuples.groupBy("_tuple").agg(F.min("id").alias("_p"), F.max("id").alias("_q")).where("_p < _q").select("_tuple")
-    live = staged(tuples.join(live, "_tuple"), "tuples")
+    live = staged(tuples.join(staged(live, "live"), "_tuple"), "tuples")
     left, right = (live.where(side).select("id", F.col("_tuple").alias(name)) for side, name in (("_left", "_x"), ("NOT _left", "_y")))
     cells = staged(left.join(right, "id").select(F.xxhash64("_x", "_y").alias("cell"), "id"), "cells")
     hubs = cells.groupBy("cell").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
-    shared = staged(cells.join(hubs, "cell"), "shared")
+    shared = staged(cells.join(staged(hubs, "hubs"), "cell"), "shared")
     pairs = staged(shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sets = staged(full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
     links = staged(confirmed(pairs, sets, similar), "links")
@@ -142,7 +143,7 @@ def _links(docs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     cells = shared.select("cell", "id").join(found, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
     cells = staged(cells, "open")
     mixed = cells.groupBy("cell").agg(F.min("component").alias("hub"), F.max("component").alias("_last")).where("hub < _last").drop("_last")
-    cells = staged(cells.join(mixed, "cell").select("id", "component", "hub").distinct(), "mixed")
+    cells = staged(cells.join(staged(mixed, "joint"), "cell").select("id", "component", "hub").distinct(), "mixed")
     clusters = components(cells.select(F.col("hub").alias("a"), F.col("component").alias("b")))
     clusters = clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     left = cells.select("id", "component").distinct().join(clusters, "component")
