@@ -155,15 +155,18 @@ def _marks(parts: DataFrame, length: int) -> DataFrame:
         if step:
             parts = _narrowed(parts, length, step)
         parts = staged(parts, "parts")
+        if step == 1:  # a part is a window; its key and a second hash tell it
+            parts = parts.withColumn("key", F.struct("key", F.xxhash64("bytes").alias("other"))).drop("bytes")
         counts = parts.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
-        if step == 1:  # a part is a window, and its key the window's hash
-            found = parts.drop("bytes").join(counts, "key").select("anchor", "run", F.col("shift").alias("low"), (F.col("shift") + 1).alias("high"))
-            return out.union(found)
-        met = staged(parts.join(counts, "key"), "met")
+        met = parts.join(staged(counts, "counts"), "key")  # a key with many parts can be split
+        if step == 1:
+            return out.union(met.select("anchor", "run", F.col("shift").alias("low"), (F.col("shift") + 1).alias("high")))
+        met = staged(met, "met")
         few = met.where(F.col("_many") <= CROWD)
         total = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
         blocks = max(1, -(-total // BLOCK))
         few = few.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(blocks))).drop("_many", "key", "at")
+        few = few.repartition(blocks, "_block")  # a task for each, however few its bytes
         found = staged(few.groupBy("_block").applyInArrow(_sorted_marks(length), _MARK), "marks")
         out = out.union(found) if out else found
         parts = met.where(F.col("_many") > CROWD).drop("_many")
@@ -184,6 +187,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     where = F.struct("text_key", "first", "number", "at")
     distinct = staged(every.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("w")), "distinct")
     kinds = distinct.groupBy("anchor").agg(F.min("run").alias("_p"), F.max("run").alias("_q")).where("_p < _q").select("anchor")
+    kinds = staged(kinds, "kinds")
     mixed = distinct.join(kinds, "anchor").select("w.text_key", F.struct("anchor", "run", "w.first", "w.number", "w.at").alias("r"))
     wanted = mixed.groupBy("text_key").agg(F.collect_list("r").alias("wanted"))
     texts = _distinct_texts(keyed).join(wanted.hint("shuffle_hash"), "text_key").select("text", "wanted")
