@@ -19,3 +19,11 @@ def test_every_word_of_the_examples_counts(spark):
     terms = index.terms.tolist()
     frequencies, total = toxicity.document_frequencies(docs, index.terms)
     assert total == len(texts) + len(more) and frequencies.tolist() == [counts[h] for h in terms]
+
+
+def test_sample_without_words(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity(docs, labels).collect()
+    assert len(found) == 20 and all(0 <= r["score"] <= 1 and r["near_ids"] == [] for r in found)
+    assert toxicity.toxicity(docs.where("false"), labels).collect() == []

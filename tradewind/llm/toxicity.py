@@ -36,6 +36,8 @@ BINS, THRESHOLD = 8, 0.3
 
 def _rows(terms: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term number and count of the words that are terms (sorted hashes)."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
     hit = terms[at] == hashes
     pairs, counts = np.unique(docs[hit] * len(terms) + at[hit], return_counts=True)
@@ -252,7 +254,8 @@ def score(documents: DataFrame, index: Index | None, doc_id: str = "doc_id", tex
     """doc_id, score, evidence (ids, labels and cosines of the nearest examples) per row.
 
     Only the text counts. Null and empty texts, and texts without a term of the index, have
-    no evidence and the score of the base rate; without an index all scores are 0.
+    no evidence: their vote is the base rate, calibrated like any vote. Without an index
+    all scores are 0.
     """
     broadcast = documents.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
