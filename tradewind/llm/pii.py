@@ -1,10 +1,12 @@
 """Personal data: exact patterns, and identifiers found by bootstrapped contexts.
 
 All of it is DataFrame and SQL functions. Base matches of four kinds seed the method.
+So do tokens in the shape of a key: twenty or more letters and digits, both among them.
 Around each token that could be an identifier stand two lexical patterns, what precedes
 it and what follows it. Patterns and instances form a graph: a pattern is as good as its
-instances, an instance as good as its patterns. Scores are passed over the graph a few
-times; patterns with high scores then mark identifiers that no base pattern describes.
+instances, an instance half as good as its best pattern. Scores are passed over the graph
+until they settle; patterns with high scores then mark identifiers that no base pattern
+and no shape describes.
 """
 
 from __future__ import annotations
@@ -25,17 +27,18 @@ KINDS: list[tuple[str, str]] = [
 ]
 #: Kind of the spans that contexts add.
 FOUND = "identifier"
-#: Passes over the pattern-instance graph, the least score of a pattern that may mark
-#: identifiers, and the least number of distinct instances that support it.
-ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
+#: The least score of a pattern that may mark identifiers, the least number of distinct
+#: instances that support it, what an instance takes from its best pattern, and the change
+#: below which scores have settled: each pass at least halves it.
+CONFIDENT, SUPPORT, PASSED, SETTLED = 0.6, 3, 0.5, 0.01
+#: The shape of a key.
+_KEY = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}+\z"
 
 #: A token with a digit or an at sign; its outer punctuation is then taken off.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _LEADING, _TRAILING = r"^[^A-Za-z0-9@+]++", r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++\z"
-#: An identifier has 6 to 64 characters, by definition.
-_LEAST, _MOST = 6, 64
-#: Characters of context on each side, from which at most two words are taken.
-_AROUND = 60
+#: Words of context on each side, of which at most two make a pattern.
+_AROUND = 4
 
 _SPAN = "struct<start:long,end:long,value:string,left:string,right:string>"
 
@@ -45,26 +48,43 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _nearest(piece: Column, words: int) -> Column:
+    """The first words of a piece between two matches, or the last if words is negative."""
+    return F.substring_index(F.translate(piece, "\n\r\t", "   "), " ", words)
+
+
+_CHUNK = 64
+
+
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<start, end, value, left, right>> of all matches, in code points.
 
     The pieces between the matches give the offsets by one running sum, and the contexts.
-    A text without `needs` is not scanned.
+    Spans are gathered by the _CHUNK, so that a text with many costs no square of them. A
+    text without `needs` is not scanned.
     """
 
     def scan(pieces: Column) -> Column:
         found, between = pieces["found"], pieces["between"]
         sized = F.zip_with(between, found, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+        none, full = F.array().cast(f"array<{_SPAN}>"), F.array().cast(f"array<array<{_SPAN}>>")
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("n"), none.alias("part"), full.alias("parts"))
 
         def step(acc: Column, pair: Column) -> Column:
             start = acc["at"] + F.length(pair["b"])
             end = start + F.coalesce(F.length(pair["f"]), F.lit(0))
-            after = F.left(F.coalesce(F.get(between, F.size(acc["spans"]) + 1), F.lit("")), F.lit(_AROUND))
-            span = F.struct(start.alias("start"), end.alias("end"), pair["f"].alias("value"), F.right(pair["b"], F.lit(_AROUND)).alias("left"), after.alias("right"))
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span.cast(_SPAN))).alias("spans"))
-
-        return F.aggregate(F.filter(sized, lambda p: p["f"].isNotNull()), zero, step)["spans"]
+            after = _nearest(F.coalesce(F.get(between, acc["n"] + 1), F.lit("")), _AROUND)
+            span = F.struct(start.alias("start"), end.alias("end"), pair["f"].alias("value"), _nearest(pair["b"], -_AROUND).alias("left"), after.alias("right"))
+            more = F.concat(acc["part"], F.array(span.cast(_SPAN)))
+            fills = F.size(acc["part"]) == _CHUNK - 1
+            return F.struct(
+                end.cast("long").alias("at"),
+                (acc["n"] + 1).alias("n"),
+                F.when(fills, none).otherwise(more).alias("part"),
+                F.when(fills, F.concat(acc["parts"], F.array(more))).otherwise(acc["parts"]).alias("parts"),
+            )
+
+        return F.aggregate(F.filter(sized, lambda p: p["f"].isNotNull()), zero, step, lambda acc: F.concat(F.flatten(acc["parts"]), acc["part"]))
 
     pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     return F.when(text.rlike(needs), _let(pieces, scan)).otherwise(F.array().cast(f"array<{_SPAN}>"))
@@ -74,7 +94,7 @@ def _replaced(text: Column, pattern: str, needs: str, by) -> Column:
     """text with by(match) for each match."""
 
     def join(pieces: Column) -> Column:
-        return F.array_join(F.zip_with(pieces["between"], pieces["found"], lambda b, f: F.concat(b, F.coalesce(by(f), F.lit("")))), "")
+        return F.array_join(F.zip_with(pieces["between"], pieces["found"], lambda b, f: F.concat(b, F.when(f.isNull(), "").otherwise(by(f)))), "")
 
     pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     return F.when(text.rlike(needs), _let(pieces, join)).otherwise(text)
@@ -131,7 +151,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), s["right"].alias("right")).cast(_SPAN)
 
     tokens = F.transform(_matches(F.col("_masked"), _TOKEN, "[0-9@]"), core)
-    fits = F.filter(tokens, lambda s: F.length(s["value"]).between(_LEAST, _MOST) & s["value"].rlike("[0-9@]"))
+    fits = F.filter(tokens, lambda s: s["value"].rlike("[0-9@]"))
     return out.withColumn("candidates", fits).drop("_masked")
 
 
@@ -147,23 +167,25 @@ def _confident(seen: DataFrame) -> DataFrame:
     """Patterns that may mark identifiers, from (pattern, instance, seed).
 
     Scores are whole millionths, so that sums do not depend on their order. A pattern's
-    score is the mean of its instances' scores, an instance's the greatest of its
-    patterns'; seeds stay at one.
+    score is the mean of its instances' scores, an instance's PASSED times the greatest of
+    its patterns'; seeds stay at one. Patterns and instances are written before they are
+    joined to the graph, so that a common one can be split.
     """
     edges = seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
-    edges = staged(edges.join(wide, "pattern"), "edges")
+    edges = staged(edges.join(staged(wide, "wide"), "pattern"), "edges")
     one = 1_000_000
-    score = F.when(F.col("seed"), one).otherwise(0).cast("long")
-    held = edges.select("pattern", "instance", "seed", "support", score.alias("score"))
-    for k in range(ROUNDS):
-        patterns = held.groupBy("pattern").agg((F.sum("score") / F.max("support")).cast("long").alias("worth"))
-        if k == ROUNDS - 1:
+    held = edges.withColumn("score", F.when(F.col("seed"), one).otherwise(0).cast("long"))
+    while True:
+        patterns = staged(held.groupBy("pattern").agg((F.sum("score") / F.max("support")).cast("long").alias("worth")), "patterns")
+        best = edges.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg(F.max("worth").alias("worth"))
+        fresh = held.join(staged(best, "best"), "instance", "left")
+        fresh = fresh.withColumn("fresh", F.when(F.col("seed"), one).otherwise(F.coalesce("worth", F.lit(0)) * PASSED).cast("long")).drop("worth")
+        fresh = staged(fresh, "scores")
+        moved = fresh.agg(F.max(F.abs(F.col("fresh") - F.col("score")))).first()[0]
+        if (moved or 0) <= SETTLED * one:
             return patterns.where(F.col("worth") >= int(CONFIDENT * one)).select("pattern")
-        best = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("worth").alias("worth"))
-        fresh = F.when(F.col("seed"), one).otherwise(F.col("worth")).cast("long")
-        held = staged(edges.join(best, "instance").select("pattern", "instance", "seed", "support", fresh.alias("score")), "scores")
-    raise AssertionError
+        held = fresh.drop("score").withColumnRenamed("fresh", "score")
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,9 +201,9 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     plain = plain.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     base = staged(base_spans(plain).select("doc_id", "text_key", *kinds, "candidates"), "base")
     seeds = base.select(F.explode(F.concat(*kinds)).alias("s"), F.lit(True).alias("seed"), F.lit(None).cast("binary").alias("text_key"))
-    tokens = base.select(F.explode("candidates").alias("s"), F.lit(False).alias("seed"), "text_key")
-    seen = seeds.union(tokens).select(F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"), F.lower("s.value").alias("instance"), "seed")
-    patterns = _confident(seen)
+    tokens = base.select(F.explode("candidates").alias("s"), "text_key").select("s", F.col("s.value").rlike(_KEY).alias("seed"), "text_key")
+    seen = seeds.unionByName(tokens).select(F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"), F.lower("s.value").alias("instance"), "seed")
+    patterns = staged(_confident(seen), "confident")
     marks = tokens.select("text_key", F.struct("s.start", "s.end", "s.value").alias("span"), F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"))
     marks = marks.join(patterns, "pattern").groupBy("text_key").agg(F.array_sort(F.collect_set("span")).alias(FOUND))
     short = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in kinds]
@@ -211,7 +233,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Identifiers go first, by their places; base kinds then by their patterns.
     """
     found = find_pii(docs).select("text_key", FOUND).where(F.size(FOUND) > 0).dropDuplicates(["text_key"])
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    keyed = keyed.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     joined = keyed.join(found.select(F.col("text_key").alias("_key"), F.col(FOUND).alias("_found")), "_key", "left")
     text = F.col("text")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -227,4 +250,4 @@ def redact(docs: DataFrame) -> DataFrame:
     for kind, pattern in KINDS:
         joined = joined.withColumn("text", clean)
         clean = _replaced(F.col("text"), pattern, _NEEDS[kind], _swaps(kind, lambda f, name=f"[{kind.upper()}]": F.lit(name)))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    return joined.withColumn("text", clean).select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
