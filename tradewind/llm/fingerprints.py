@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Tokens are runs of up to twelve non-space characters. A window of eight tokens is an
+Tokens are words, numbers and other single characters. A window of eight tokens is an
 anchor if the least of the hashes of its seven inner pairs is the first or the last: what
 the window itself holds decides, so an edit elsewhere moves no anchor. A fingerprint is
-the anchors with the least hashes, each with its token place; two fingerprints match
-where hashes agree and places differ by one common shift.
+all anchors whose hash is in the lowest eighth of its range, and at least the 32 lowest,
+each with its token place: it grows with the text. Two fingerprints match where hashes
+agree and places differ by one common shift.
 """
 
 from __future__ import annotations
@@ -15,10 +16,16 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tradewind.llm.common import staged
 
-#: Tokens of a window, anchors of a fingerprint, and how far from the common shift the
-#: places of two equal anchors may lie.
+#: Tokens of a window, least anchors of a fingerprint (all, if a text has fewer), and how far
+#: from the common shift the places of two equal anchors may lie.
 WINDOW, ANCHORS, SLACK = 8, 32, 16
-_TOKEN = r"\S{1,12}"
+#: Anchors with a lower hash are all kept: an eighth of them.
+LOW = -(1 << 63) + (1 << 61)
+#: A word of an alphabetic script, a number, or one character. Where letters run on beyond
+#: any word, and in scripts without spaces, each character is a token: what it is decides
+#: where tokens begin, never a count from the start.
+_LETTERS = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsHangul}\p{M}]"
+_TOKEN = rf"(?<!{_LETTERS}){_LETTERS}{{1,24}}+(?!{_LETTERS})|(?<![0-9])[0-9]{{1,24}}+(?![0-9])|\S"
 
 
 def _let(value: Column, body) -> Column:
@@ -27,7 +34,8 @@ def _let(value: Column, body) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """array<struct<hash, place>>, by hash: at most ANCHORS anchors of text (not null).
+    """array<struct<hash, place>>, by hash: the anchors of text (not null) with a hash below
+    LOW, and the ANCHORS lowest in any case. Of equal anchors the first place counts.
 
     A text without a window or an anchor has itself as only anchor; the empty text none.
     """
@@ -45,7 +53,7 @@ def fingerprint(text: Column) -> Column:
 
     def least(found: Column) -> Column:
         first = F.filter(found, lambda x, i: (i == 0) | (x["hash"] != F.get(found, i - 1)["hash"]))
-        return F.slice(first, 1, ANCHORS)
+        return _let(first, lambda f: F.filter(f, lambda x, i: (i < ANCHORS) | (x["hash"] < LOW)))
 
     hashes = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
     found = _let(F.sort_array(_let(_let(hashes, pairs), chosen)), least)
@@ -54,26 +62,37 @@ def fingerprint(text: Column) -> Column:
     return F.when(text == "", none).otherwise(_let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole)))
 
 
+def _complete(found: Column) -> Column:
+    """The hash up to which a fingerprint has every anchor of its text."""
+    last = F.element_at(found, -1)["hash"]
+    return F.when(F.size(found) < ANCHORS, F.lit((1 << 63) - 1)).otherwise(F.greatest(last, F.lit(LOW)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the estimated share of anchors that two fingerprints have at one shift.
+    """0 to 1: the share of anchors that two fingerprints have at one shift, among hashes up
+    to which both are complete.
 
-    1 for equal fingerprints (two empty ones too), 0 if they have no anchor in common.
+    1 for equal fingerprints (two empty ones too), 0 if they have no anchor in common. The
+    work is that of sorting both.
     """
 
+    def sided(found: Column, most: Column, side: int) -> Column:
+        low = F.filter(found, lambda x: x["hash"] <= most)
+        return F.transform(low, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["place"].alias("place")))
+
     def matched(shifts: Column) -> Column:
-        middle = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
+        middle = F.get(shifts, F.floor(F.size(shifts) / 2).cast("int"))
         return F.size(F.filter(shifts, lambda x: F.abs(x - middle) <= SLACK))
 
-    ha, hb, pa, pb = a["hash"], b["hash"], a["place"], b["place"]
-    least = F.slice(F.sort_array(F.array_union(ha, hb)), 1, ANCHORS)
-
-    def share(u: Column) -> Column:
-        both = F.filter(F.array_intersect(ha, hb), lambda x: x <= F.element_at(u, -1))
-        at = lambda places, hashes, x: F.get(places, (F.array_position(hashes, x) - 1).cast("int"))
-        shifts = F.transform(both, lambda x: at(pb, hb, x) - at(pa, ha, x))
-        return _let(_let(shifts, matched), lambda m: 2.0 * m / (F.size(u) + m))
+    def share(both: Column) -> Column:
+        after = lambda i: F.get(both, i + 1)
+        shifts = F.transform(both, lambda x, i: F.when(x["hash"] == after(i)["hash"], after(i)["place"] - x["place"]))
+        return _let(_let(F.sort_array(F.filter(shifts, lambda x: x.isNotNull())), matched), lambda m: 2.0 * m / F.size(both))
 
-    return F.when(F.size(ha) + F.size(hb) == 0, F.lit(1.0)).when((F.size(ha) == 0) | (F.size(hb) == 0), F.lit(0.0)).otherwise(_let(least, share))
+    most = F.least(_complete(a), _complete(b))
+    both = F.sort_array(F.concat(sided(a, most, 0), sided(b, most, 1)))
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(none, F.lit(0.0)).otherwise(_let(both, share))
 
 
 def written(found: Column) -> Column:
