@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import BYTE_VALUES, Hashes, passes, text_bytes
 
 #: Pieces whose encodings a worker remembers; the memo is emptied when full.
-MEMO = 100_000
+MEMO = 200_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -82,6 +83,7 @@ class PieceEncoder:
 
     def __init__(self, encode: Callable[[bytes], list[int]], memo: int = MEMO):
         self.encode, self.memo, self.limit = encode, {}, memo
+        self.pack = [struct.Struct(f"={n}I").pack for n in range(12)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and the place of each document's first (one more at the end)."""
@@ -89,14 +91,15 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         _, where, which = np.unique(Hashes(BYTE_VALUES[data]).of(starts, stops), return_index=True, return_inverse=True)
-        raw, memo, found = data.tobytes(), self.memo, []
+        raw, memo, found, pack = data.tobytes(), self.memo, [], self.pack
         for a, b in zip(starts[where].tolist(), stops[where].tolist()):
             piece = raw[a:b]
             ids = memo.get(piece)
             if ids is None:
                 if len(memo) >= self.limit:
                     memo.clear()
-                ids = memo[piece] = np.array(self.encode(piece), np.uint32).tobytes()
+                new = self.encode(piece)
+                ids = memo[piece] = pack[len(new)](*new) if len(new) < len(pack) else np.array(new, np.uint32).tobytes()
             found.append(ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)

@@ -5,9 +5,10 @@ among the pieces of its length without gathering a length in one task. Lengths a
 are whole numbers up to the sequence length, so equal ones are interchangeable: a sweep
 matches classes (length, count) to the smallest gap class that is large enough, its
 successor; the conflict of many pieces over one gap class is settled by rank, gaps are
-updated, and the next length sweeps again. What a sweep decides are rank intervals, at
-most a few for each pair of classes whatever the input's size; each piece then finds its
-interval by a join on length and rank.
+updated, and the next length sweeps again. The driver sweeps, over the counts of at most
+`sequence` lengths. What a sweep decides are rank intervals, at most a few for each pair of
+classes whatever the input's size; each piece then finds its interval by a join on length
+and rank.
 """
 
 from __future__ import annotations
@@ -40,8 +41,14 @@ _PLAN = StructType([StructField(c, LongType()) for c in ("plan_length", "first",
 
 @functools.cache
 def _tokenizer(name: str) -> tuple[Tokenizer, PieceEncoder]:
+    """The library's tokenizer, and an encoder of pieces by its model alone, which sees each
+    byte as one of the 256 characters of the byte-level alphabet."""
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    return whole, PieceEncoder(lambda piece: whole.encode(piece.decode(), add_special_tokens=False).ids)
+    shown = [k for k in range(256) if 33 <= k <= 126 or 161 <= k <= 172 or k >= 174]
+    hidden = [k for k in range(256) if k not in shown]
+    letters = {k: chr(k) for k in shown} | {k: chr(256 + n) for n, k in enumerate(hidden)}
+    tokens = whole.model.tokenize
+    return whole, PieceEncoder(lambda piece: [t.id for t in tokens(piece.decode("latin-1").translate(letters))])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
