@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.functions import brands, offers
+from tradewind.functions import brands, offers, words
 from tradewind.plans import search
 
 
@@ -17,8 +17,8 @@ def test_volumes(spark):
 
 
 def test_clean_names(spark):
-    got = values(spark, offers.clean_name, ["Jameson Original (12 × 35 CL):", "coded 2380 crt Price:", "plain", " ,; ", None])
-    assert got == ["Jameson Original (12 × 35 CL)", "coded 2380 crt", "plain", "", ""]
+    got = values(spark, offers.clean_name, ["Harbour Gin (6 × 20 CL):", "lot 77 on pallet Price:", "plain", " ,; ", None])
+    assert got == ["Harbour Gin (6 × 20 CL)", "lot 77 on pallet", "plain", "", ""]
 
 
 def test_slugs(spark):
@@ -51,3 +51,27 @@ def test_search_ranks_exact_before_fuzzy(spark):
     assert rows == {1: (3.0, 2)}
     rows = {r["ord"]: r["matched"] for r in search.search(postings, "guinness 999ml").collect()}
     assert rows == {1: 1, 2: 1}
+
+
+def test_search_words(spark):
+    pairs = {
+        "Barrel Stout 24 x 330ml": "barrel stout 24x 330ml", "33cl": "330ml", "12x330": "12x 330ml", "4x6x33cl": "4x 6x 330ml", "75cl": "750ml", "2L": "2000ml",
+        "1 liter": "1000ml", "0.5": "500ml", "Gin 0.7": "gin 700ml", "6x0.7": "6x 700ml", "12 x 35cl x 38% alc": "12x 350ml 38%", "Stout Draft": "stout draught",
+        "Rye Whisky": "rye whiskey", "D'Orée Café": "doree cafe", "Lager 250ml btl": "lager 250ml bottle", "Cola cans": "cola can", "Bar 51g": "bar 51g",
+        "Spread 1,5 kg": "spread 1500g", "1,000 pcs": "1000 piece", "40.5 %": "40 5%", "guinness": "guinness", "berries": "berry", None: "", "the x of": "",
+        "oil 8 oz": "oil 227g", "T1 2024": "t1 2024",
+    }
+    assert values(spark, words.normalise, list(pairs)) == list(pairs.values())
+
+
+def test_search_without_words_gives_all_rows(spark):
+    docs = spark.createDataFrame([(1, "Stout", "24x 440ml"), (2, "Ale", "24x 330ml")], "ord long, name string, spec string")
+    assert search.search(search.index(docs, ["name"], ["spec"]), "the x").count() == 2
+
+
+def test_buyers_and_durations(spark):
+    from tradewind.functions import extraction
+
+    told = ["Please share your best price, EUR 5/btl", "Cola EUR 5/btl", "we want to buy at 5 EUR", "requesting a quotation: 5 EUR", "Rum, no price"]
+    assert values(spark, extraction.is_supplier_offer, told) == [False, True, False, False, False]
+    assert values(spark, extraction.lead_days, ["2-3 weeks", "10 working days", "36 hrs", "1 month", "5 working weeks", "ready to ship", "soon"]) == [21, 14, 2, 30, 35, 0, None]

@@ -16,8 +16,21 @@ _PRICE_UNIT = "btl|bottle|bottles|btls|cs|case|cases|ctn|carton|pc|pcs|piece|pie
 _COUNT_UNIT = "cases?|cartons?|ctns?|boxes|box|bottles?|btls?|pieces?|pcs?|pallets?|plts?|pals?|units?|each|ea|cs"
 SUPPORTED = ["EUR", "USD", "GBP", "AED", "SGD"]
 _UNIT_KINDS = [("Cases", "cases?|cs"), ("Cartons", "cartons?|ctns?|boxe?s?"), ("Bottles", "bottles?|btls?"), ("Pieces", "pieces?|pcs?|units?|ea|each"), ("Pallets", "pallets?|plts?|pals?")]
-_DURATION = "working\\s*days?|business\\s*days?|work\\s*days?|working\\s*weeks?|days?|weeks?|wks?|months?|mths?|mos?|hours?|hrs?|h"
-_BUY = "i['’]?d\\s+like\\s+(?:a\\s+)?(?:quote|quotation|price)|(?:send|share)\\s+(?:me\\s+|us\\s+)?(?:a\\s+|your\\s+)?(?:quote|quotation|best\\s+price)|what['’]?s\\s+your\\s+best\\s+price|can\\s+you\\s+(?:do|beat|match)(?![a-z])|(?:we\\s+are|we're|i\\s+am|i'm)\\s+looking\\s+to\\s+buy|interested\\s+in\\s+buying|want\\s+to\\s+buy|request(?:ing)?\\s+(?:a\\s+)?quot"
+#: Days in each unit of a duration.
+DURATIONS = {
+    "working day": 1.4, "working days": 1.4, "business day": 1.4, "business days": 1.4, "work day": 1.4, "work days": 1.4,
+    "working week": 7, "working weeks": 7, "day": 1, "days": 1, "week": 7, "weeks": 7, "wk": 7, "wks": 7,
+    "month": 30, "months": 30, "mth": 30, "mths": 30, "mo": 30, "mos": 30,
+    "hour": 1 / 24, "hours": 1 / 24, "hr": 1 / 24, "hrs": 1 / 24, "h": 1 / 24,
+}
+LOADS = ["ftl", "full truck load", "full truck loads", "truck load", "truck loads", "full load", "full loads"]
+CONTAINERS = ["fcl", "20 ft", "40 ft", "20 feet", "40 feet", "container", "containers", "cntr", "cntrs"]
+#: What buyers write, without the words in FILLERS and apostrophes.
+BUYING = [
+    "id like quote", "id like price", "send quote", "send best price", "share quote", "share best price", "whats best price",
+    "can you do", "can you beat", "can you match", "looking to buy", "interested in buying", "want to buy", "request quote", "requesting quote",
+]
+FILLERS = ["a", "me", "us", "your", "the"]
 
 _NUMBER = "[0-9]+(?:[.,][0-9]+)?"
 _AMOUNT = "[0-9][0-9.,]*(?:\\s*[km](?![A-Za-z0-9_]))?"
@@ -45,9 +58,18 @@ def prices(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(PRICE), F.lit(0)), lambda p: F.regexp_replace(F.trim(p), f"(?i)\\s*{_B}per{_E}\\s*", "/"))
 
 
+def _phrases(values) -> str:
+    """A pattern of the phrases, longest first; their spaces may be missing or more."""
+    return "|".join(v.replace(" ", "\\s*") for v in sorted(values, key=len, reverse=True))
+
+
 def is_supplier_offer(text: Column) -> Column:
     """Has a price and is not written by a buyer."""
-    return text.rlike(PRICE) & ~text.rlike(f"(?i){_B}(?:{_BUY})")
+    words = F.split(F.lower(F.regexp_replace(text, "['’]", "")), "[^a-z]+")
+    said = F.transform(F.filter(words, lambda w: ~w.isin(FILLERS)), lambda w: F.when(F.startswith(w, F.lit("quot")), "quote").otherwise(w))
+    line = F.concat(F.lit(" "), F.array_join(said, " "), F.lit(" "))
+    buys = F.exists(F.array(*[F.lit(f" {p} ") for p in BUYING]), lambda p: F.contains(line, p))
+    return text.rlike(PRICE) & ~buys
 
 
 def without_prices(line: Column) -> Column:
@@ -138,8 +160,8 @@ def minimum_order(text: Column, cell: bool = False) -> Column:
     counts = F.filter(counts, lambda c: c["type"].isNotNull() & (c["qty"] > 0))
     first = F.get(counts, F.lit(0))["type"]
     same = F.array_min(F.transform(F.filter(counts, lambda c: c["type"] == first), lambda c: c["qty"]))
-    load = F.regexp_extract(window, f"(?i)(?:([0-9]+)\\s*[x×]?\\s*)?{_B}(?:ftl|full\\s*truck\\s*loads?|truck\\s*loads?|full\\s*loads?){_E}", 0)
-    box = F.regexp_extract(window, f"(?i)(?:([0-9]+)\\s*[x×]?\\s*)?{_B}(?:fcl|(?:20|40)\\s*(?:ft|feet)|containers?|cntrs?){_E}", 0)
+    loads = lambda values: F.regexp_extract(window, f"(?i)(?:[0-9]+\\s*[x×]?\\s*)?{_B}(?:{_phrases(values)}){_E}", 0)
+    load, box = loads(LOADS), loads(CONTAINERS)
 
     def term(name: Column | str, qty: Column, currency: Column | str = "") -> Column:
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -157,15 +179,14 @@ def minimum_order(text: Column, cell: bool = False) -> Column:
 def lead_days(text: Column) -> Column:
     """The longest duration in days; zero for ex-stock and same day; null if none is given."""
     whole = F.coalesce(text, F.lit(""))
-    pattern = f"(?i)(?:{_NUMBER})\\s*(?:-|–|—|to|~|\\+)?\\s*(?:{_NUMBER})?\\s*(?:{_DURATION}){_E}"
+    pattern = f"(?i){_NUMBER}\\s*[-–—~+]?(?:to)?\\s*(?:{_NUMBER})?\\s*(?:{_phrases(DURATIONS)}){_E}"
+    units = F.create_map(*[F.lit(x) for unit, n in DURATIONS.items() for x in (unit.replace(" ", ""), float(n))])
 
     def days(m: Column) -> Column:
         numbers = F.regexp_extract_all(m, F.lit(_NUMBER), F.lit(0))
         n = F.replace(F.element_at(numbers, -1), F.lit(","), F.lit(".")).try_cast("double")
-        unit = F.lower(F.regexp_extract(m, "[A-Za-z][A-Za-z\\s]*\\z", 0))
-        working = unit.rlike("^(?:working|business|work)\\s*days?\\z")
-        scale = F.when(unit.rlike("we*e?ks?\\z|wks?\\z"), n * 7).when(unit.rlike("^mo?n?t?hs?\\z|^mos?\\z"), n * 30).when(unit.rlike("^h"), n / 24).when(working, n * 7 / 5).otherwise(n)
-        return F.ceil(scale).cast("int")
+        unit = F.regexp_replace(F.lower(F.regexp_extract(m, "(?i)(?:(?:working|business|work)\\s*)?[a-z]+\\z", 0)), "\\s+", "")
+        return F.ceil(F.round(n * units[unit], 6)).cast("int")
 
     longest = F.array_max(F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), days))
     other = F.when(whole.rlike(f"(?i){_B}same[\\s-]day{_E}"), 0).when(whole.rlike(f"(?i){_B}(?:next[\\s-]day|overnight){_E}"), 1).when(whole.rlike(_NO_STOCK), None).when(whole.rlike(_STOCK), 0)
@@ -175,13 +196,3 @@ def lead_days(text: Column) -> Column:
 def mixed_load(text: Column) -> Column:
     """False beats true; silence is null."""
     return F.when(text.rlike(_MIXED_NO), False).when(text.rlike(_MIXED_YES), True)
-
-
-def trade_terms(line: Column, header: Column, default_days: Column) -> Column:
-    """struct<moq, lead_days, lead_source, mixed, status>: the line's own terms, then the
-    header's, then the supplier's default. A line with neither term is not recognised."""
-    moq = F.coalesce(minimum_order(line), minimum_order(header))
-    own = F.coalesce(lead_days(line), lead_days(header))
-    source = F.when(lead_days(line).isNotNull(), "Supplier Stated").when(own.isNotNull(), "Parsed From Text").when(default_days.isNotNull(), "Supplier Default").otherwise("")
-    status = F.when(moq.isNotNull() & own.isNotNull(), "Clean").when(moq.isNotNull() | own.isNotNull(), "Partial").otherwise("Unrecognised")
-    return F.struct(moq.alias("moq"), F.coalesce(own, default_days).alias("lead_days"), source.alias("lead_source"), F.coalesce(mixed_load(line), mixed_load(header)).alias("mixed"), status.alias("status"))

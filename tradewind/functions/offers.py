@@ -12,6 +12,11 @@ INCOTERMS = "EXW FCA FOB CFR CIF DAP DDP DPU CPT CIP FAS".split()
 #: Words of the counted minimum-order types, one and many.
 UNIT_WORDS = {"Pallets": ("pallet", "pallets"), "Cases": ("case", "cases"), "Container": ("container", "containers"), "Full Truckload": ("full load", "full loads")}
 
+#: What a price may be for, labels before a price, and words for kinds of unit.
+BASES = "case unit btl bottle pack can jar piece".split()
+PRICE_LABELS = ["price", "prices"]
+UNIT_KINDS = {"Can": "can cans tin tins", "Bottle": "btl btls bottle bottles pet nrb", "Jar": "jar jars", "Sachet": "sachet sachets", "Tube": "tube tubes"}
+
 
 def stock_code(label: Column) -> Column:
     text = F.lower(F.coalesce(label, F.lit("")))
@@ -23,26 +28,45 @@ def is_test_row(name: Column) -> Column:
     return (text == "") | text.rlike("(?i)^(testbrand|testproduct)")
 
 
+def _lexemes(text: Column) -> Column:
+    """Numbers, words and other marks of a text, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9][0-9.,]*|[A-Za-z]+|[^A-Za-z0-9\\s]"), F.lit(0))
+
+
+def _number(lexeme: Column) -> Column:
+    """A number with commas between thousands, up to a second point."""
+    return F.substring_index(F.replace(lexeme, F.lit(",")), ".", 2).try_cast("double")
+
+
 def amount(text: Column) -> Column:
     """The first number of a price, thousands commas taken out."""
-    found = F.regexp_extract(text, "([A-Z]{3})?\\s*([0-9.,]+)", 2)
-    return F.regexp_extract(F.replace(found, F.lit(",")), "^[0-9]*\\.?[0-9]*", 0).try_cast("double")
+    return _number(F.get(F.filter(_lexemes(text), lambda x: x.rlike("^[0-9]")), F.lit(0)))
 
 
 def price_parts(detail: Column) -> Column:
-    """array<struct<currency, amount, basis>> of "EUR 9.24/case · EUR 0.77/unit"."""
-    pattern = "([A-Z]{3})?\\s*([0-9.,]+)\\s*/\\s*(?i:(case|unit|btl|bottle|pack|can|jar|piece)?)"
+    """array<struct<currency, amount, basis>> of "EUR 9.24/case · EUR 0.77/unit": in each part
+    a slash, the number before it, three capitals before that, and what the price is for."""
 
-    def part(p: Column) -> Column:
-        number = F.regexp_extract(F.replace(F.regexp_extract(p, pattern, 2), F.lit(",")), "^[0-9]*\\.?[0-9]*", 0).try_cast("double")
-        return F.struct(F.regexp_extract(p, pattern, 1).alias("currency"), number.alias("amount"), F.lower(F.regexp_extract(p, pattern, 3)).alias("basis"))
+    def part(x: Column) -> Column:
+        at = lambda k: F.get(x, (F.array_position(x, "/") - 1 + k).cast("int"))
+        sign, basis = at(-2), F.lower(at(1))
+        return F.struct(
+            F.when(sign.rlike("^[A-Z]{3}\\z"), sign).otherwise("").alias("currency"),
+            F.when(F.array_contains(x, "/"), _number(at(-1))).alias("amount"),
+            F.when(basis.isin(BASES), basis).otherwise("").alias("basis"),
+        )
 
-    return F.filter(F.transform(F.split(F.coalesce(detail, F.lit("")), "·"), part), lambda p: p["amount"].isNotNull())
+    parts = F.transform(F.split(F.coalesce(detail, F.lit("")), "·"), _lexemes)
+    return F.filter(F.transform(parts, part), lambda p: p["amount"].isNotNull())
 
 
 def pack_size(detail: Column, spec: Column) -> Column:
-    marked = blank(F.regexp_extract(detail, "(?i)\\(([0-9]+)\\s*pk\\)", 1)).try_cast("int")
-    return F.coalesce(marked, blank(F.regexp_extract(spec, "(?i)^\\s*([0-9]+)\\s*[x×]", 1)).try_cast("int"))
+    """The count of "(6pk)" in the detail, or the number before the cross that leads the spec."""
+    said = F.concat(F.lit(" "), F.array_join(F.transform(_lexemes(detail), F.lower), " "), F.lit(" "))
+    marked = blank(F.regexp_extract(said, " [(] ([0-9]+) pk [)] ", 1)).try_cast("int")
+    lead = _lexemes(spec)
+    crossed = F.lower(F.get(lead, F.lit(1))).rlike("^[x×]")
+    return F.coalesce(marked, F.when(crossed, F.get(lead, F.lit(0)).try_cast("int")))
 
 
 def count_or_null(x: Column) -> Column:
@@ -82,7 +106,13 @@ def basis_noun(basis: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """Without a price label, colons and punctuation at the end."""
-    return F.trim(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), "(?i)(?:(?:[\\s,;]*(?<![A-Za-z0-9_])prices?)?\\s*:+\\s*|[\\s,;]+)+\\z", ""))
+    out = F.coalesce(name, F.lit(""))
+    for _ in range(2):  # a label, and what stood before it
+        bare = F.regexp_replace(out, "[\\s,;:]++\\z", "")
+        colon = F.contains(F.substr(out, F.length(bare) + 1), F.lit(":"))
+        last = F.regexp_extract(bare, "[A-Za-z0-9_]*+\\z", 0)
+        out = F.when(colon & F.lower(last).isin(PRICE_LABELS), F.left(bare, F.length(bare) - F.length(last))).otherwise(bare)
+    return F.trim(F.regexp_replace(out, "[\\s,;]++\\z", ""))
 
 
 def variants(name: Column) -> Column:
@@ -103,12 +133,9 @@ def terms(text: Column) -> Column:
 
 def unit_type(text: Column) -> Column:
     """The first of five kinds of unit that the text names."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    out = None
-    for kind, words in (("Can", "cans?|tins?"), ("Bottle", "btls?|bottles?|pet|nrb"), ("Jar", "jars?"), ("Sachet", "sachets?"), ("Tube", "tubes?")):
-        hit = t.rlike(f"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")
-        out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
-    return out.otherwise(F.lit(""))
+    said = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
+    kinds = [F.when(F.arrays_overlap(said, F.array(*map(F.lit, words.split()))), F.lit(kind)) for kind, words in UNIT_KINDS.items()]
+    return F.coalesce(*kinds, F.lit(""))
 
 
 def is_estimated(source: Column) -> Column:
@@ -189,3 +216,70 @@ def terms_amount(text: Column) -> Column:
     )
     scale = F.when(t.rlike("[0-9]\\s*k(?![a-z])"), 1000).when(t.rlike("[0-9]\\s*m(?![a-z])"), 1000000).otherwise(1)
     return plain.try_cast("double") * scale
+
+
+def price_label(amount: Column, currency: Column, basis: Column, short: bool = False) -> Column:
+    """"EUR 9.24 per case", with a slash if short; without both parts a price on enquiry."""
+    noun, per = basis_noun(basis), F.lit(" / " if short else " per ")
+    money = F.concat(currency, F.lit(" "), F.format_string("%.2f", amount))
+    priced = amount.isNotNull() & (F.coalesce(currency, F.lit("")) != "")
+    return F.when(~priced, F.lit("price on enquiry")).when(noun == "", money).otherwise(F.concat(money, per, noun))
+
+
+def pallet_label(cases: Column, pieces: Column) -> Column:
+    each = [F.when(n > 0, F.concat(F.format_number(n, 0), F.lit(f" {word}/pallet"))) for n, word in ((cases, "cases"), (pieces, "pcs"))]
+    return F.coalesce(*each, F.lit(""))
+
+
+def listing_terms(moq: Column, estimated: Column, lead: Column, pallet: Column) -> Column:
+    """Minimum order, lead time and pallet of a card; texts that say what they are stay bare."""
+    said = moq.rlike(r"(?i)\b(?:moq|mov|minimum)\b|^min\b") & ~estimated
+    first = F.when(said, moq).otherwise(F.concat(F.when(estimated, "MOQ typically ").otherwise("MOQ "), moq))
+    second = F.when(lead.rlike(r"(?i)\blead\s*time\b"), lead).otherwise(F.concat(F.lit("Lead "), lead))
+    parts = F.array(F.when(moq != "", first), F.when(lead != "", second), blank(pallet))
+    return F.array_join(F.array_compact(parts), " · ")
+
+
+def stock_phrase(delisted: Column, code: Column, qty: Column) -> Column:
+    in_stock = F.when(qty > 0, F.concat(F.format_number(qty, 0), F.lit(" cases in stock"))).otherwise("in stock")
+    return F.when(delisted, "sold out — request a quote").when(code == "in", in_stock).when(code == "warn", "limited availability").otherwise("enquire for availability")
+
+
+def title_name(name: Column, tail: Column, whole: int = 110, least: int = 24) -> Column:
+    """The name, cut with an ellipsis where name and tail would not fit a title."""
+    budget = F.greatest(F.lit(least), whole - F.length(tail))
+    cut = F.regexp_replace(F.left(name, budget - 1), "[\\s,;·—-]+\\z", "")
+    return F.when(F.length(name) > budget, F.concat(cut, F.lit("…"))).otherwise(name)
+
+
+def record_id(text: Column) -> Column:
+    """The text if it is a record's id, else empty."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(trimmed.rlike("^rec[A-Za-z0-9]{14}\\z"), trimmed).otherwise("")
+
+
+def place_alias(place: Column, aliases: dict[str, str]) -> Column:
+    """The name that stands for a place, whatever its case, spaces and marks; else the place."""
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    out = place
+    for name, stands in aliases.items():
+        out = F.when(key(place) == key(F.lit(name)), stands).otherwise(out)
+    return out
+
+
+def tab_url(origin: str, tab: Column, tabs: list[str]) -> Column:
+    """A page's tab, or the page where there is no such tab."""
+    named = F.lower(F.regexp_replace(F.coalesce(tab, F.lit("")), "^#", ""))
+    return F.when(named.isin(tabs), F.concat(F.lit(f"{origin}/#"), named)).otherwise(origin)
+
+
+def enquiry_url(origin: str, name: Column, spec: Column, amount: Column, currency: Column, sold_out: Column) -> Column:
+    """A link that opens a chat with a question about an offer; a sold-out price is not told."""
+    detail = F.when(F.coalesce(spec, F.lit("")) != "", F.concat(F.lit(" ("), spec, F.lit(")"))).otherwise("")
+    price = F.when(amount.isNotNull() & (currency != ""), F.concat(F.lit(" listed at "), currency, F.lit(" "), F.format_string("%.2f", amount))).otherwise("")
+    ask = F.concat(F.lit("Hi, I'd like a quote for "), name, detail, price, F.lit("."))
+    like = F.concat(F.lit("Hi, I'm looking for "), name, detail, F.lit(" — is this or a similar line available?"))
+    coded = F.replace(F.url_encode(F.when(sold_out, like).otherwise(ask)), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%27", "'"), ("%28", "("), ("%29", ")"), ("%21", "!"), ("%7E", "~")):  # marks that stay in a link
+        coded = F.replace(coded, F.lit(code), F.lit(mark))
+    return F.concat(F.lit(f"{origin}?text="), coded)

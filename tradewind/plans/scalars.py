@@ -137,3 +137,56 @@ def row_coercion(o):
 def derived_fields(o):
     per_unit = F.when(F.col("price_basis").isin("case", "pack"), half_up(F.col("amount") / F.col("pack") * 10000) / 10000)
     return o.select("ord", F.coalesce("volume_ml", offers.volume_ml(F.col("spec"))).alias("volume"), F.coalesce(per_unit, F.col("amount")).alias("price"))
+
+
+@query("f24_price_label", "SELECT ord, CASE WHEN amount IS NULL THEN 'price on enquiry' ELSE currency || ' ' || printf('%.2f', amount) || CASE price_basis WHEN 'case' THEN ' per case' WHEN 'unit' THEN ' per unit' WHEN 'bottle' THEN ' per bottle' ELSE ' per pack' END END AS label, CASE WHEN amount IS NULL THEN 'price on enquiry' ELSE currency || ' ' || printf('%.2f', amount) || ' / ' || price_basis END AS short FROM offers", "offers")
+def price_labels(o):
+    parts = F.col("amount"), F.col("currency"), F.col("price_basis")
+    return o.select("ord", offers.price_label(*parts).alias("label"), offers.price_label(*parts, short=True).alias("short"))
+
+
+@query(
+    "f32_terms_line",
+    """SELECT ord, array_to_string(list_filter([CASE WHEN m = '' THEN NULL WHEN e THEN 'MOQ typically ' || m WHEN m = 'No minimum' THEN m ELSE 'MOQ ' || m END,
+         CASE WHEN l <> '' THEN 'Lead ' || l END, CASE WHEN qty > 0 THEN CAST(qty AS VARCHAR) || ' cases/pallet' WHEN pack * 100 > 0 AND qty IS NULL THEN format('{:,}', pack * 100) || ' pcs/pallet' END], lambda x: x IS NOT NULL), ' · ') AS line
+       FROM (SELECT *, CASE ord % 3 WHEN 0 THEN 'No minimum' WHEN 1 THEN '5 cases' ELSE '' END AS m, ord % 4 = 0 AS e, CASE WHEN ord % 5 = 0 THEN '' ELSE '2 weeks' END AS l FROM offers)""",
+    "offers",
+)
+def terms_lines(o):
+    """Cards of terms; a pallet is told in cases where they are known, else in pieces."""
+    n = F.col("ord")
+    moq = F.when(n % 3 == 0, "No minimum").when(n % 3 == 1, "5 cases").otherwise("")
+    pallet = offers.pallet_label(F.col("qty"), F.when(F.col("qty").isNull(), F.col("pack") * 100))
+    return o.select("ord", offers.listing_terms(moq, n % 4 == 0, F.when(n % 5 == 0, "").otherwise("2 weeks"), pallet).alias("line"))
+
+
+@query(
+    "f53_f59_titles",
+    """SELECT ord, CASE WHEN delisted THEN 'sold out — request a quote' WHEN stock = 'in' THEN CASE WHEN qty > 0 THEN CAST(qty AS VARCHAR) || ' cases in stock' ELSE 'in stock' END WHEN stock = 'warn' THEN 'limited availability' ELSE 'enquire for availability' END AS phrase,
+         CASE WHEN length(name) + 90 > 114 THEN regexp_replace(left(name, 23), '[ ,;·—-]+$', '') || '…' ELSE name END AS short FROM offers""",
+    "offers",
+)
+def titles(o):
+    tail = F.lit("t" * 90)
+    return o.select("ord", offers.stock_phrase(F.col("delisted"), F.col("stock"), F.col("qty")).alias("phrase"), offers.title_name(F.col("name"), tail).alias("short"))
+
+
+@query(
+    "p9_p10_p11_p12_links",
+    """SELECT ord, CASE warehouse WHEN 'North Depot' THEN 'North' ELSE warehouse END AS place, CASE WHEN ord % 2 = 0 THEN 'rec' || lpad(CAST(ord AS VARCHAR), 14, '0') ELSE '' END AS record,
+         CASE ord % 3 WHEN 0 THEN 'https://quote.example/#chat' WHEN 1 THEN 'https://quote.example/#excel' ELSE 'https://quote.example' END AS tab,
+         'https://chat.example?text=' || replace(replace(CASE WHEN delisted THEN 'Hi%2C I''m looking for ' || name || ' (' || spec || ') %E2%80%94 is this or a similar line available%3F'
+           ELSE 'Hi%2C I''d like a quote for ' || name || ' (' || spec || ')' || CASE WHEN amount IS NULL THEN '' ELSE ' listed at ' || currency || ' ' || printf('%.2f', amount) END || '.' END, '#', '%23'), ' ', '%20') AS link
+       FROM offers""",
+    "offers",
+)
+def links(o):
+    n = F.col("ord")
+    key = F.lpad(n.cast("string"), 14, "0")
+    return o.select(
+        "ord",
+        offers.place_alias(F.col("warehouse"), {"north-depot": "North"}).alias("place"),
+        offers.record_id(F.concat(F.when(n % 2 == 0, " rec").otherwise("snapshot-"), key)).alias("record"),
+        offers.tab_url("https://quote.example", F.when(n % 3 == 0, "#Chat").when(n % 3 == 1, "excel").otherwise("other"), ["chat", "excel"]).alias("tab"),
+        offers.enquiry_url("https://chat.example", F.col("name"), F.col("spec"), F.col("amount"), F.col("currency"), F.col("delisted")).alias("link"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import offers as fn
+from tradewind.functions import words
 from tradewind.functions.js import numbered
 from tradewind.plans.registry import query
 
@@ -13,23 +14,21 @@ from tradewind.plans.registry import query
 STRONG, WEAK, EXACT, PREFIX, FUZZY = 2, 1, 1.0, 0.6, 0.45
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and percent signs."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9%]+"), F.lit(0))
-
-
 def index(docs: DataFrame, strong: list[str], weak: list[str], key: str = "ord") -> DataFrame:
     """(key, token, weight): each token of a row once, strong before weak."""
-    each = [docs.select(key, F.explode(F.array_distinct(tokens(F.concat_ws(" ", *cols)))).alias("token"), F.lit(w).alias("weight")) for cols, w in ((strong, STRONG), (weak, WEAK))]
+    each = [docs.select(key, F.explode(F.array_distinct(words.tokens(F.concat_ws(" ", *cols)))).alias("token"), F.lit(w).alias("weight")) for cols, w in ((strong, STRONG), (weak, WEAK))]
     return each[0].union(each[1]).groupBy(key, "token").agg(F.max("weight").alias("weight"))
 
 
 def search(postings: DataFrame, text: str, key: str = "ord") -> DataFrame:
     """(key, score, matched): rows that match every query token, or all but one if none
-    does. Query tokens, a handful, meet the distinct vocabulary, then postings."""
+    does; every row, with score 0, if the query has no token. Query tokens, a handful, meet
+    the distinct vocabulary, then postings."""
     spark = postings.sparkSession
-    words = sorted(set(__import__("re").findall(r"[a-z0-9%]+", text.lower())))
-    wanted = spark.createDataFrame([(w,) for w in words], "q string")
+    asked = spark.range(1).select(F.array_distinct(words.tokens(F.lit(text)))).first()[0]
+    if not asked:
+        return postings.select(key).distinct().select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
+    wanted = spark.createDataFrame([(w,) for w in asked], "q string")
     vocab = postings.select("token").distinct()
     q, v = F.col("q"), F.col("token")
     budget = F.when(~q.rlike("^[a-z]+\\z"), 0).when(F.length(q) >= 8, 2).when(F.length(q) >= 4, 1).otherwise(0)
@@ -38,26 +37,47 @@ def search(postings: DataFrame, text: str, key: str = "ord") -> DataFrame:
     matches = vocab.join(F.broadcast(wanted), base.isNotNull()).select("token", "q", base.alias("base"))
     best = postings.join(matches, "token").groupBy(key, "q").agg(F.max(F.col("base") * F.col("weight")).alias("s"))
     rows = best.groupBy(key).agg(F.sum(F.col("s").cast("decimal(10,4)")).cast("double").alias("score"), F.count(F.lit(1)).alias("matched"))
-    need = rows.agg(F.when(F.max("matched") >= len(words), len(words)).otherwise(max(len(words) - 1, 1)).alias("need"))
+    need = rows.agg(F.when(F.max("matched") >= len(asked), len(asked)).otherwise(max(len(asked) - 1, 1)).alias("need"))
     return rows.withColumn("_j", F.lit(1)).join(F.broadcast(need.withColumn("_j", F.lit(1))), "_j").where("matched >= need").select(key, "score", "matched")
 
 
-_TOKENS = "SELECT ord, unnest(list_distinct(regexp_extract_all(lower({}), '[a-z0-9%]+'))) AS token, {} AS weight FROM offers"
+_SAME = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words.SYNONYMS.items())
+_STOP = ", ".join(f"'{w}'" for w in words.STOP)
+#: The words of a text whose only sizes are "6 x 110ml": packs are joined, then plain runs.
+_WORDS = f"list_transform(list_filter(regexp_extract_all(regexp_replace(lower({{}}), '([0-9]) x ([0-9])', '\\1x \\2', 'g'), '[a-z0-9%]+'), lambda w: w NOT IN ({_STOP})), lambda w: CASE w {_SAME} ELSE w END)"
+_STEMS = f"list_filter(list_transform({_WORDS}, lambda w: CASE WHEN NOT regexp_matches(w, '^[a-z]{{{{5,}}}}$') OR regexp_matches(w, '(ss|us|is|ys)$') THEN w WHEN suffix(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN suffix(w, 's') THEN left(w, length(w) - 1) ELSE w END), lambda w: w NOT IN ({_STOP}))"
+_TOKENS = f"SELECT ord, unnest(list_distinct({_STEMS})) AS token, {{}} AS weight FROM offers"
 _INDEX = f"SELECT ord, token, max(weight) AS weight FROM ({_TOKENS.format('brand || chr(32) || name', 2)} UNION ALL {_TOKENS.format('spec || chr(32) || category || chr(32) || tier', 1)}) GROUP BY ord, token"
 
 
+@query("f1_f2_tokens", f"SELECT ord, array_to_string({_STEMS.format("name || ' bottles ' || spec || ' x 40% alc'")}, ' ') AS words FROM offers", "offers")
+def normalised_texts(o: DataFrame) -> DataFrame:
+    text = F.concat(F.col("name"), F.lit(" BOTTLES "), F.col("spec"), F.lit(" × 40 % alc"))
+    return o.select("ord", words.normalise(text).alias("words"))
+
+
+@query(
+    "f6_f7_f8_stems",
+    f"SELECT ord, array_to_string({_STEMS.format("CASE ord % 4 WHEN 0 THEN 'berries glass whiskies' WHEN 1 THEN 'creme brulee crates' WHEN 2 THEN 'tins of days chips' ELSE 'loreal gel citrus' END")}, ' ') AS words FROM offers",
+    "offers",
+)
+def stemmed_texts(o: DataFrame) -> DataFrame:
+    text = F.when(F.col("ord") % 4 == 0, "Berries Glass Whiskies").when(F.col("ord") % 4 == 1, "Crème brûlée CRATES").when(F.col("ord") % 4 == 2, "Tins of days, chips").otherwise("L'Oréal Gel citrus")
+    return o.select("ord", words.normalise(text).alias("words"))
+
+
 @query("q1_build_index", f"SELECT token, count(*) AS docs, CAST(sum(weight) AS BIGINT) AS weight FROM ({_INDEX}) GROUP BY token", "offers")
 def build_index(o: DataFrame) -> DataFrame:
     return index(o, ["brand", "name"], ["spec", "category", "tier"]).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight"))
 
 
-def _search_sql(words: list[str]) -> str:
-    values = ", ".join(f"('{w}')" for w in words)
+def _search_sql(asked: list[str]) -> str:
+    values = ", ".join(f"('{w}')" for w in asked)
     near = "regexp_matches(q, '^[a-z]+$') AND regexp_matches(token, '^[a-z]+$') AND levenshtein(q, token) <= CASE WHEN length(q) >= 8 THEN 2 WHEN length(q) >= 4 THEN 1 ELSE 0 END AND length(q) >= 4"
     base = f"CASE WHEN q = token THEN 1.0 WHEN length(q) >= 2 AND starts_with(token, q) THEN 0.6 WHEN {near} THEN 0.45 END"
     return f"""WITH p AS ({_INDEX}), m AS (SELECT token, q, {base} AS base FROM (SELECT DISTINCT token FROM p) CROSS JOIN (VALUES {values}) t(q) WHERE {base} IS NOT NULL),
         r AS (SELECT ord, CAST(sum(s) AS DOUBLE) AS score, count(*) AS matched FROM (SELECT ord, q, max(base * weight) AS s FROM p JOIN m USING (token) GROUP BY ord, q) GROUP BY ord)
-        SELECT ord, score, matched FROM r WHERE matched >= (SELECT CASE WHEN max(matched) >= {len(words)} THEN {len(words)} ELSE {max(len(words) - 1, 1)} END FROM r)"""
+        SELECT ord, score, matched FROM r WHERE matched >= (SELECT CASE WHEN max(matched) >= {len(asked)} THEN {len(asked)} ELSE {max(len(asked) - 1, 1)} END FROM r)"""
 
 
 @query("q2_j9_search_typo", _search_sql(["110ml", "widgt"]), "offers")
