@@ -205,3 +205,24 @@ def _cross_links(similar: int):
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
+
+
+#: All pairs that share a shingle, in SQL; for small tables.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+), k AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(list_sort(shingles), chr(10))) AS same FROM s),
+n AS (SELECT same, min(doc_id) AS id, any_value(n) AS n FROM k WHERE n > 0 GROUP BY same),
+e AS (SELECT id, n, unnest(shingles) AS x FROM n JOIN s ON s.doc_id = n.id),
+p AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT a AS id, b AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+c AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(c.component, n.id, k.doc_id) AS component_id, k.doc_id = coalesce(c.component, n.id, k.doc_id) AS kept
+FROM k LEFT JOIN n ON n.same = k.same AND k.n > 0 LEFT JOIN c ON c.id = n.id
+"""

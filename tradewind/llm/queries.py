@@ -67,5 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_suffix_dedup": substring_dedup.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

@@ -240,3 +240,22 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     out = whole.join(staged(cut, "cut"), "text_key", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"))
+
+
+#: Every window by its hash, in SQL; for small tables.
+ORACLE = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT r, i, md5(raw[i:i + 399]) AS h FROM (SELECT r, raw, unnest(range(1, n - 398)) AS i FROM b WHERE n >= 400)),
+rep AS (SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+steps AS (SELECT r, i, max(i + 399) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM rep),
+marks AS (SELECT r, i, sum(CASE WHEN upto IS NULL OR upto < i - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM steps),
+gone AS (SELECT r, g, min(i) AS low, max(i) + 399 AS high FROM marks GROUP BY r, g),
+kept AS (
+  SELECT r, upto + 1 AS low, low - 1 AS high FROM (SELECT r, low, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS upto FROM gone)
+  UNION ALL SELECT gone.r, max(high) + 1, max(n) FROM gone JOIN b USING (r) GROUP BY gone.r
+), text AS (SELECT r, string_agg(hex(raw[low:high]), '' ORDER BY low) AS rest FROM kept JOIN b USING (r) WHERE high >= low GROUP BY r),
+cut AS (SELECT r, sum(high - low + 1) AS removed, count(*) AS spans FROM gone GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       CASE WHEN removed IS NULL THEN sha256(raw) ELSE sha256(coalesce(unhex(rest), encode(''))) END AS kept_sha256
+FROM b LEFT JOIN cut USING (r) LEFT JOIN text USING (r)
+"""
