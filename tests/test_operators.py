@@ -71,3 +71,13 @@ def test_stream_of_demand(spark, tmp_path):
     state = demand.keep_latest(stream.select(F.col("user_id").cast("string").alias("slug"), "ts", "event_id"), str(tmp_path / "state"), str(tmp_path / "cp"))
     state.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "state" / "version=0")).count() == 2
+
+
+def test_line_sink_and_csv_upload(spark, tmp_path):
+    from tradewind.sources import readers
+
+    path = str(tmp_path / "lines")
+    readers.write_lines(spark.createDataFrame([("n",), ("1",), ("2",)], "line string").coalesce(1), path)
+    assert [r[0] for r in spark.read.text(path).collect()] == ["1", "2", "n"]
+    (tmp_path / "up.csv").write_text("id,n\na,1\nb,x\n")
+    assert {tuple(r) for r in readers.csv_upload(spark, str(tmp_path / "up.csv"), "id string, n int").collect()} == {("a", 1), ("b", None)}

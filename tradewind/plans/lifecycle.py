@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,8 +171,3 @@ def price_view(o: DataFrame) -> DataFrame:
     text = F.concat_ws(" · ", F.concat_ws("/", F.concat_ws(" ", "currency", F.col("pack").cast("string")), "price_basis"), F.concat_ws(" ", "currency", F.col("ord").cast("string")))
     parts = F.split(text, " · ")
     return o.select("ord", F.regexp_extract(parts[0], "/(\\w+)\\z", 1).alias("basis"), F.array_join(F.slice(parts, 2, 9), " · ").alias("other"))
-
-
-def merged(tables: list[DataFrame]) -> DataFrame:
-    """Sources one after another, by name."""
-    return reduce(DataFrame.unionByName, tables)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def write_if_changed(df: DataFrame, path: str, schema: str) -> bool:
     spark = df.sparkSession
     try:
         same = content_hash(snapshot(spark, path, schema).select(*df.columns)) == content_hash(df)
-    except Exception:  # there is none yet
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):  # one that cannot be read is not overwritten
+            raise
         same = False
     if not same:
         df.write.mode("overwrite").json(path)
