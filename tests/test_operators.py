@@ -81,3 +81,39 @@ def test_line_sink_and_csv_upload(spark, tmp_path):
     assert [r[0] for r in spark.read.text(path).collect()] == ["1", "2", "n"]
     (tmp_path / "up.csv").write_text("id,n\na,1\nb,x\n")
     assert {tuple(r) for r in readers.csv_upload(spark, str(tmp_path / "up.csv"), "id string, n int").collect()} == {("a", 1), ("b", None)}
+
+
+def test_ranks_are_whole_over_cuts(spark):
+    from tradewind.operators.ranks import ranked
+
+    rows = [(k, 3 * n) for k in ("a", "b") for n in range(40)] + [(None, 1), ("a", None), ("c", -5)]
+    got = {(r.k, r.o): r.r for r in ranked(spark.createDataFrame(rows, "k string, o long"), "k", "o", "r", bits=3).collect()}
+    assert got == {(k, 3 * n): n + 1 for k in ("a", "b") for n in range(40)} | {("c", -5): 1}
+    assert ranked(spark.createDataFrame([], "k string, o long"), "k", "o", "r").count() == 0
+
+
+def test_offers_of_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tradewind.operators.normalisation import PUBLIC, normalised, with_facets
+
+    kinds = dict.fromkeys(["stock_cases", "volume_ml", "pallet_cases", "pallet_pieces", "moq_qty"], "double") | dict.fromkeys(["pcs_case", "lead_time_days"], "int")
+    kinds |= dict.fromkeys(["featured", "mixed_load"], "boolean") | {"ord": "long"}
+    cases = [
+        {},
+        {"price_detail": "EUR 60/case (8pk)", "pcs_case": 24, "featured": True},
+        {"price_detail": "EUR 60/case", "spec": "no count", "variant": " blue "},
+        {"price_display": "about 12", "price_type": "Per Pack", "currency": "USD", "terms": "FOB Quay", "warehouse": "Other"},
+    ]
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in PUBLIC) + ", supplier_cost double"
+    raw = spark.createDataFrame([tuple({"ord": n, **case}.get(c) for c in PUBLIC) + (9.0,) for n, case in enumerate(cases)], schema)
+    out = with_facets(normalised(raw))
+    assert "supplier_cost" not in out.columns
+    rows = out.orderBy("ord").select("amount", "unit_amount", "currency", "price_basis", "featured", "variants", "incoterm", "warehouse", "category").collect()
+    assert [tuple(r) for r in rows] == [
+        (None, None, "", "", False, "", "", "", "Other"),
+        (60.0, 7.5, "EUR", "case", True, "", "", "", "Other"),
+        (60.0, 60.0, "EUR", "case", False, "blue", "", "", "Other"),
+        (12.0, 12.0, "USD", "pack", False, "", "FOB", "Quay", "Other"),
+    ]
+    assert normalised(raw.where(F.lit(False))).count() == 0

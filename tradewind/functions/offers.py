@@ -43,6 +43,14 @@ def amount(text: Column) -> Column:
     return _number(F.get(F.filter(_lexemes(text), lambda x: x.rlike("^[0-9]")), F.lit(0)))
 
 
+def currency(text: Column) -> Column:
+    """The three capitals before the first number of a price, or empty."""
+    lexemes = _lexemes(text)
+    first = F.array_position(F.transform(lexemes, lambda x: x.rlike("^[0-9]")), True)
+    before = F.when(first > 1, F.get(lexemes, (first - 2).cast("int")))
+    return F.when(before.rlike("^[A-Z]{3}\\z"), before).otherwise("")
+
+
 def price_parts(detail: Column) -> Column:
     """array<struct<currency, amount, basis>> of "EUR 9.24/case · EUR 0.77/unit": in each part
     a slash, the number before it, three capitals before that, and what the price is for."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import brands
 from tradewind.functions.js import numbered
+from tradewind.operators.ranks import ranked
 from tradewind.plans.registry import query
 
 _SHOUT = "(length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) > 1 AND regexp_replace({0}, '[^A-Za-z]', '', 'g') = upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')))"
@@ -156,11 +157,11 @@ def difference_intersection(prev, new):
 def related_offers(o):
     """Each offer's next four in its category, round the end."""
     live = o.where("NOT delisted").select("ord", "category")
-    ranked = live.withColumn("p", numbered(Window.partitionBy("category").orderBy("ord")) - 1)
-    sized = ranked.join(live.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category")
+    rank = ranked(live, "category", "ord", "p").withColumn("p", F.col("p") - 1)
+    sized = rank.join(live.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category")
     wanted = sized.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("place < n")
     wanted = wanted.select("ord", "category", "place", ((F.col("p") + F.col("place")) % F.col("n")).cast("int").alias("p"))
-    return wanted.join(ranked.withColumnRenamed("ord", "related"), ["category", "p"]).select("ord", "related", "place")
+    return wanted.join(rank.withColumnRenamed("ord", "related"), ["category", "p"]).select("ord", "related", "place")
 
 
 @query("w1_slug_suffixes", "SELECT ord, CASE WHEN r = 1 THEN s ELSE s || '-' || CAST(r AS STRING) END AS slug FROM (SELECT ord, s, row_number() OVER (PARTITION BY s ORDER BY ord) AS r FROM (SELECT ord, replace(name, ' ', '-') AS s FROM offers))", "offers")
@@ -168,5 +169,4 @@ def slug_suffixes(o):
     """Equal slugs get -2, -3 in catalogue order. Natural slugs here never end in a number;
     operators.slugs.deduped() folds those that do."""
     named = o.select("ord", brands.slug(F.col("name")).alias("s"))
-    r = numbered(Window.partitionBy("s").orderBy("ord"))
-    return named.withColumn("r", r).select("ord", F.when(F.col("r") == 1, F.col("s")).otherwise(F.concat_ws("-", "s", F.col("r").cast("string"))).alias("slug"))
+    return ranked(named, "s", "ord", "r").select("ord", F.when(F.col("r") == 1, F.col("s")).otherwise(F.concat_ws("-", "s", F.col("r").cast("string"))).alias("slug"))

@@ -36,6 +36,32 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 2 = 0 THEN '0' || CAST(50000000 + p_partkey AS STRING) ELSE '' END AS ean,
                CASE WHEN p_partkey % 5 = 0 THEN CAST(70000000 + p_partkey AS STRING) ELSE '' END AS ean_case
         FROM {part}""",
+    # Raw offers as suppliers' rows hold them, with a column that must not be read.
+    "raw_offers": """
+        SELECT CAST(p_partkey AS STRING) AS id, p_partkey AS ord,
+               CASE p_partkey % 5 WHEN 0 THEN p_name || ' Price:' WHEN 1 THEN p_name || ' crate — red, green, blue' WHEN 2 THEN p_name || ' crate - red, green' WHEN 3 THEN p_name || ' can' END AS description,
+               CASE WHEN p_partkey % 15 = 0 THEN ' mint ' END AS variant, CASE WHEN p_partkey % 7 = 0 THEN ' Two ' WHEN p_partkey % 9 = 0 THEN NULL ELSE p_brand END AS brand,
+               CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_type END AS category,
+               CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '24 x ' || CAST(p_size AS STRING) || 'cl bottle' WHEN 2 THEN CAST(p_size AS STRING) || 'ml jar' ELSE 'loose' END AS spec,
+               CASE p_partkey % 6 WHEN 0 THEN 'EUR ' || CAST(p_size AS STRING) || '.40/case (6pk) · EUR 0.77/unit' WHEN 1 THEN 'USD 1,2' || CAST(10 + p_size AS STRING) || '.5/case (12pk)'
+                    WHEN 2 THEN '' WHEN 3 THEN 'GBP ' || CAST(p_size AS STRING) || '/Bottle' WHEN 4 THEN CAST(p_size AS STRING) || ' / pack' END AS price_detail,
+               CASE p_partkey % 7 WHEN 0 THEN 'EUR ' || CAST(p_size AS STRING) || '.05' WHEN 1 THEN '1,0' || CAST(10 + p_size AS STRING) || ' USD' WHEN 2 THEN 'on request' WHEN 3 THEN '' WHEN 4 THEN 'only PLN ' || CAST(p_size AS STRING) END AS price_display,
+               CASE p_partkey % 3 WHEN 0 THEN 'Per Case' WHEN 1 THEN 'unit' END AS price_type, CASE p_partkey % 4 WHEN 0 THEN 'CHF' WHEN 1 THEN '' END AS currency,
+               CASE p_partkey % 4 WHEN 0 THEN 'In Stock now' WHEN 1 THEN 'Limited' WHEN 2 THEN 'ask' END AS stock_display,
+               CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) + 0.5 END AS stock_cases,
+               CASE p_partkey % 5 WHEN 0 THEN 'EXW Harbour' WHEN 1 THEN 'DAP' WHEN 2 THEN 'North Depot' WHEN 3 THEN 'EXWORKS' END AS terms,
+               CASE p_partkey % 3 WHEN 0 THEN 'T1' WHEN 1 THEN '' END AS tier, CASE WHEN p_partkey % 2 = 0 THEN 'France' END AS origin,
+               CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS featured, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size * 10 AS DOUBLE) WHEN 1 THEN CAST(0 AS DOUBLE) END AS volume_ml,
+               CASE p_partkey % 4 WHEN 0 THEN 12 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS pcs_case,
+               CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) - 20 END AS pallet_cases, CAST(p_size AS DOUBLE) * 2.5 AS pallet_pieces,
+               CASE WHEN p_partkey % 10 = 0 THEN 'Tube' END AS unit_type, CASE WHEN p_partkey % 2 = 0 THEN CAST(50000000 + p_partkey AS STRING) END AS ean, CAST(NULL AS STRING) AS ean_case,
+               CASE p_partkey % 4 WHEN 0 THEN 'Other' WHEN 1 THEN 'South Depot' WHEN 2 THEN '' END AS warehouse, CASE p_partkey % 4 WHEN 0 THEN 'FOB' WHEN 1 THEN 'Other' END AS incoterm,
+               CASE WHEN p_partkey % 3 = 0 THEN '5 cases' END AS moq, CASE WHEN p_partkey % 4 = 0 THEN '2 weeks' END AS lead_time, CASE WHEN p_partkey % 5 = 0 THEN 'Cases' END AS moq_type,
+               CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS DOUBLE) END AS moq_qty, CASE WHEN p_partkey % 6 = 0 THEN 'EUR' END AS moq_currency, CASE WHEN p_partkey % 7 = 0 THEN 'Line' END AS moq_source,
+               p_partkey % 2 = 0 AS mixed_load, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 4 - 1 AS INT) END AS lead_time_days, CASE WHEN p_partkey % 9 = 0 THEN '2025-01' END AS bbd,
+               CASE WHEN p_partkey % 8 = 0 THEN 'short date' END AS note, '2024-01-05' AS offer_date, CASE WHEN p_partkey % 2 = 0 THEN '2024-02-05' END AS expiry_date,
+               p_retailprice AS supplier_cost
+        FROM {part}""",
     # Two snapshots of the catalogue, as of yesterday and today.
     "offers_prev": "SELECT * FROM ({offers}) o WHERE ord % 10 <> 3",
     "offers_next": "SELECT id, ord, name, brand, category, spec, CASE WHEN ord % 20 = 1 THEN amount + 1 ELSE amount END AS amount, currency, stock, CASE WHEN ord % 15 = 2 THEN '' ELSE warehouse END AS warehouse FROM ({offers}) o WHERE ord % 10 <> 7",
