@@ -75,3 +75,39 @@ def test_buyers_and_durations(spark):
     told = ["Please share your best price, EUR 5/btl", "Cola EUR 5/btl", "we want to buy at 5 EUR", "requesting a quotation: 5 EUR", "Rum, no price"]
     assert values(spark, extraction.is_supplier_offer, told) == [False, True, False, False, False]
     assert values(spark, extraction.lead_days, ["2-3 weeks", "10 working days", "36 hrs", "1 month", "5 working weeks", "ready to ship", "soon"]) == [21, 14, 2, 30, 35, 0, None]
+
+
+def test_lines_of_an_enquiry(spark):
+    from pyspark.sql import functions as F
+
+    from tradewind.functions import intake
+
+    rows = [
+        ("Green Valley Oat Drink Original 6 x 1L", None, None),
+        ("2 trays", "chf", "n/a"),
+        ("Tall Ship cases of dark rum AED 9", "EUR", "-3"),
+        ("", "", ""),
+        (None, None, "12 pcs"),
+    ]
+    df = spark.createDataFrame(rows, "text string, currency string, qty string")
+    text = F.col("text")
+    brand = intake.brand_of(text)
+    got = df.select(brand, intake.variant_of(text, brand), intake.first_kind(text, intake.CATEGORIES), intake.first_kind(text, intake.UNITS), intake.currency_of(text, F.col("currency")), intake.positive_number(F.col("qty"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("Green Valley Oat Drink", "Original 6 x 1L", "", "", "", None),
+        ("", "2 trays", "", "", "Other", None),
+        ("Tall Ship", "cases of dark rum AED 9", "Spirits", "Cases", "AED", None),
+        ("", "", "", "", "", None),
+        ("", "", "", "", "", 12.0),
+    ]
+
+
+def test_client_names(spark):
+    from pyspark.sql import functions as F
+
+    from tradewind.functions import intake
+
+    rows = [(None, ["rec00000000000001", " Ann "], None), (" Bo ", ["x"], None), (None, None, "call\r\nBuyer: Cy\r\n"), (None, [], "Buyer: unattributed"), (None, None, None)]
+    df = spark.createDataFrame(rows, "cached string, links array<string>, notes string")
+    got = df.select(intake.client_name(*map(F.col, df.columns))).collect()
+    assert [r[0] for r in got] == ["Ann", "Bo", "Cy", "", ""]

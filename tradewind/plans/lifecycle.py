@@ -171,3 +171,25 @@ def price_view(o: DataFrame) -> DataFrame:
     text = F.concat_ws(" · ", F.concat_ws("/", F.concat_ws(" ", "currency", F.col("pack").cast("string")), "price_basis"), F.concat_ws(" ", "currency", F.col("ord").cast("string")))
     parts = F.split(text, " · ")
     return o.select("ord", F.regexp_extract(parts[0], "/(\\w+)\\z", 1).alias("basis"), F.array_join(F.slice(parts, 2, 9), " · ").alias("other"))
+
+
+@query(
+    "w3_archive_rotation",
+    """SELECT ord, CAST(list_sum(list_transform(string_split(replace(lower(regexp_replace(name, '#', '')), ' ', '-'), ''), lambda c: ord(c))) % greatest(1, (SELECT count(*) FROM offers l WHERE NOT l.delisted AND l.category = o.category)) AS BIGINT) AS turn FROM offers o WHERE delisted""",
+    "offers",
+)
+def archive_rotation(o):
+    """Where a delisted offer's window of its category begins: its slug's character codes,
+    summed, round the category's live offers."""
+    live = o.where("NOT delisted").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    gone = o.where("delisted").select("ord", "category", brands.slug(F.col("name")).alias("s"))
+    codes = F.transform(F.split("s", ""), lambda c: F.ascii(c).cast("long"))
+    total = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c)
+    return gone.join(live, "category", "left").select("ord", (total % F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))).alias("turn"))
+
+
+@query("s18_ledger_lines", """SELECT '"' || id || '":"' || offer_date || '"' AS line FROM offers WHERE delisted AND offer_date <> ''""", "offers")
+def ledger_lines(o):
+    """The ledger of retired offers as JSON members, one a line, for readers.write_lines()."""
+    member = F.to_json(F.create_map("id", "offer_date"))
+    return o.where("delisted AND offer_date <> ''").select(F.substr(member, F.lit(2), F.length(member) - 2).alias("line"))

@@ -93,6 +93,18 @@ VIEWS: dict[str, str] = {
             WHEN 4 THEN p_name || ' EUR 5 or EUR 7'
             ELSE p_name || ' available' END AS text
         FROM {part}""",
+    # Lines of buyers' enquiries, of seven shapes.
+    "enquiry_lines": """
+        SELECT p_partkey AS line_id, CASE p_partkey % 7
+            WHEN 0 THEN 'North Star vodka 12 x 70cl, 5 cases T1'
+            WHEN 1 THEN p_brand || ' (' || p_name || ') water; 3 pallets under bond'
+            WHEN 2 THEN 'Case of shower gel duty-paid USD 4'
+            WHEN 3 THEN 'Old Harbour Dry Rose wine ' || CAST(p_size AS STRING) || ' pcs €2'
+            WHEN 4 THEN p_type || ' energy drink - ' || CAST(p_size AS STRING) || 'ml, 2 ctns'
+            WHEN 5 THEN 'Bright Line: £1.20 ' || p_name ELSE '' END AS text,
+            CASE p_partkey % 4 WHEN 0 THEN 'eur' WHEN 1 THEN 'PLN' WHEN 2 THEN '' END AS currency,
+            CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS STRING) || ' cs' WHEN 1 THEN '-4' WHEN 2 THEN 'some' WHEN 3 THEN '1,250.5' END AS qty
+        FROM {part}""",
     "term_lines": """
         SELECT p_partkey AS line_id, CASE p_partkey % 8
             WHEN 0 THEN 'MOQ ' || CAST(1 + p_size AS STRING) || ' cases, lead time 2-3 weeks'
