@@ -17,7 +17,8 @@ def test_query_equals_oracle(spark, tmp_path, name):
     out = str(tmp_path / "out")
     queries.QUERIES[name](spark, DATA).write.parquet(out)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     con.execute(f"CREATE TABLE expected AS {queries.ORACLE_SQL[name]}")
     con.execute(f"CREATE TABLE got AS SELECT * FROM '{out}/*.parquet'")
     cols = ", ".join(r[0] for r in con.execute("DESCRIBE expected").fetchall())

@@ -21,20 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK = 1 << 20
 
 _STAGED: list[tuple[SparkSession, str, str | None]] = []
+#: Stands in for an unset spark.checkpoint.dir, which a running session does not let us set.
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir.
 
-    Where that is unset and all tasks run in this process (tests), a temporary folder is
-    set instead; on a cluster it must be set.
+    Where that is unset and all tasks run in this process (tests), one temporary folder
+    stands in for it; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tradewind-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _LOCAL:
+            _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='tradewind-')}")
+        found = _LOCAL[0]
     return found.rstrip("/")
 
 
