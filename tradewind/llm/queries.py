@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, conversation_repair, exact_dedup, fingerprints, near_dedup, packing, pii, quality, span_dedup, substring_dedup, toxicity
+from tradewind.llm import bpe, conversation_repair, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, span_dedup, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_near_dedup": near_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
