@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, conversation_repair, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, span_dedup, substring_dedup, toxicity
+from tradewind.llm import bpe, conversation_repair, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, span_dedup, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(_documents(spark, sf_dir))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
