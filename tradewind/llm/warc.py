@@ -242,6 +242,8 @@ class _Stream:
             size += len(line) + 2
             name, _, value = line.partition(b":")
             out[name.strip().lower().decode()] = value.strip().decode()
+        if line is None:
+            raise ValueError("the archive ends within a header")
         return out, size + 2
 
 
