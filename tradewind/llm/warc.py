@@ -53,14 +53,14 @@ def records(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id", ur
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     plain = plain.select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
     keyed = plain.withColumn("key", F.unhex(F.sha2("payload", 256)))
-    large = keyed.where(F.col("bytes") >= least_bytes)
-    same = ["key", "page_id", "url"]
-    distinct = staged(large.groupBy(*same, "bytes", "sha1").agg(F.count(F.lit(1)).alias("copies")), "digests")
+    # One value for a row's id, address and payload: it can be null nowhere, so joins and groups share its shuffle.
+    same = F.unhex(F.sha2(F.concat(*_known(F.col("page_id"), F.col("url"), F.hex("key"))).cast("binary"), 256))
+    large = keyed.where(F.col("bytes") >= least_bytes).withColumn("same", same)
+    distinct = staged(large.groupBy("same", "key", "page_id", "url", "bytes", "sha1").agg(F.count(F.lit(1)).alias("copies")), "digests")
     rank = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url")
-    first = distinct.groupBy("key").agg(F.min_by(F.struct("page_id", "url"), rank).alias("first"))
-    responds = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    first = distinct.groupBy("key").agg(F.min_by(F.struct("page_id", "url", "same"), rank).alias("first"))
 
-    again = distinct.join(first, "key").withColumn("again", F.col("copies") - F.when(responds, 1).otherwise(0))
+    again = distinct.join(first, "key").withColumn("again", F.col("copies") - F.when(F.col("same") == F.col("first.same"), 1).otherwise(0))
     again = again.where("again > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))))
     revisits = again.select(
         _identity(F.col("page_id"), F.col("url"), F.hex("key"), F.col("copy").cast("string")).alias("record_id"),
@@ -72,10 +72,9 @@ def records(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id", ur
         F.lit(b"").alias("payload"),
     )
 
-    chosen = first.select(F.col("key").alias("_key"), F.col("first.page_id").alias("_id"), F.col("first.url").alias("_url"))
-    match = (large["key"] == chosen["_key"]) & large["page_id"].eqNullSafe(chosen["_id"]) & large["url"].eqNullSafe(chosen["_url"])
     # Equal rows that respond are one record: the join has put them side by side.
-    whole = large.join(chosen.hint("merge"), match, "left_semi").groupBy(*same).agg(*(F.first(c).alias(c) for c in ("payload", "bytes", "sha1")))
+    whole = large.join(first.select("first.same").hint("merge"), "same", "left_semi")
+    whole = whole.groupBy("same").agg(*(F.first(c).alias(c) for c in ("key", "page_id", "url", "payload", "bytes", "sha1"))).drop("same")
     whole = whole.withColumn("record_id", _identity(F.col("page_id"), F.col("url"), F.hex("key")))
     if least_bytes > 0:
         copy = F.monotonically_increasing_id().cast("string")
@@ -91,9 +90,13 @@ def records(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id", ur
     return responses.unionByName(revisits)
 
 
-def _identity(page_id: F.Column, *parts: F.Column) -> F.Column:
-    known = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (page_id.cast("string"), *parts)]
-    return F.regexp_replace(F.md5(F.concat(*known).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5")
+def _known(*parts: F.Column) -> list[F.Column]:
+    texts = [c.cast("string") for c in parts]
+    return [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in texts]
+
+
+def _identity(*parts: F.Column) -> F.Column:
+    return F.regexp_replace(F.md5(F.concat(*_known(*parts)).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5")
 
 
 def write_archives(table: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE) -> DataFrame:
