@@ -253,7 +253,8 @@ def _index(rows: pa.Table, parts: tuple[np.ndarray, np.ndarray], everywhere: np.
 def score(documents: DataFrame, index: Index | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, evidence (ids, labels and cosines of the nearest examples) per row.
 
-    Only the text counts. Null and empty texts, and texts without a term of the index, have
+    Only the text counts, but an example never votes for the row with its own id: its label
+    would be an input of that row's score. Null and empty texts, and texts without a term of the index, have
     no evidence: their vote is the base rate, calibrated like any vote. Without an index
     all scores are 0.
     """
@@ -261,8 +262,10 @@ def score(documents: DataFrame, index: Index | None, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
+        place = {own: k for k, own in enumerate(index.ids.tolist())} if index else {}
         for batch in passes(batches):
             n = batch.num_rows
+            own = [place.get(i, -1) for i in batch.column("doc_id").to_pylist()]
             vote, found = np.full(n, index.base if index else 0.0), [([], [], [])] * n
             if index:
                 docs, hashes = _words(batch.column("text"))
@@ -278,7 +281,7 @@ def score(documents: DataFrame, index: Index | None, doc_id: str = "doc_id", tex
                     shared = query @ index.dense
                     for d in (np.flatnonzero(np.diff(cuts[first : first + len(query) + 1])) + first).tolist():
                         a, b = cuts[d], cuts[d + 1]
-                        best, sims = index.nearest(term[a:b], weight[a:b], shared=shared[d - first])
+                        best, sims = index.nearest(term[a:b], weight[a:b], without=own[d], shared=shared[d - first])
                         vote[d] = index.votes(best, sims)
                         found[d] = (index.ids[best], index.labels[best].astype(np.int32), sims)
                 vote = index.score(vote)
