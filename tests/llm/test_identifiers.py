@@ -41,3 +41,15 @@ def test_null_and_clashing_columns(spark):
     clean = pii.redact(docs).collect()
     assert sorted(r["text"] or "" for r in clean) == ["", "mail [EMAIL]", "mail [EMAIL]"]
     assert [r["_key"] for r in clean] == ["k"] * 3
+
+
+def test_identifiers_leave_base_matches_alone(spark):
+    """A token that holds an address is parted at it, for spans and for redaction."""
+    rows = [(k, f"{prose(k, 12)} ticket {''.join(random.Random(k).choice('0123456789abcdef') for _ in range(30))}a1 closed") for k in range(40)]
+    rows += [(100 + k, f"ticket abc{k};u{k}@b.co;x{k} closed") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_pii(docs).where("doc_id >= 100").collect():
+        spans = sorted((s["start"], s["end"]) for kind in ("email", "ip", "card", "phone", "identifier") for s in r[kind])
+        assert r["email"][0]["value"] == f"u{r['doc_id'] - 100}@b.co"
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert all("[EMAIL]" in r["text"] for r in pii.redact(docs).where("doc_id >= 100").collect())

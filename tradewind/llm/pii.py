@@ -34,8 +34,9 @@ CONFIDENT, SUPPORT, PASSED, SETTLED = 0.6, 3, 0.5, 0.01
 #: The shape of a key.
 _KEY = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_+/=-]{20,}+\z"
 
-#: A token with a digit or an at sign; its outer punctuation is then taken off.
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A token with a digit or an at sign; its outer punctuation is then taken off. Base matches
+#: (masked as \u0001) end a token like white space, so no token reaches into one.
+_TOKEN = r"(?<![^\s\u0001])[^\s0-9@\u0001]*+[0-9@][^\s\u0001]*+"
 _LEADING, _TRAILING = r"^[^A-Za-z0-9@+]++", r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++\z"
 #: Words of context on each side, of which at most two make a pattern.
 _AROUND = 4
