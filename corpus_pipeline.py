@@ -19,10 +19,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest"))
-    match = (docs["doc_id"].cast("long") == F.col("_gone")) & (text_digest() == F.col("_digest"))
-    return docs.join(gone.dropDuplicates(), match, "left_anti")
+    """Of equal texts, the document with the largest id; a document without id only where
+    no equal one has an id. Of rows that repeat both id and text, one."""
+    decided = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    marks = staged(decided.where("NOT _kept OR _n > 1"), "marks").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "_kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("id"), text_digest().alias("digest"))
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    once = rows.join(marks.where("_kept"), match).dropDuplicates(["id", "digest"])
+    return rows.join(marks, match, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
