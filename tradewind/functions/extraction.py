@@ -1,198 +1,8 @@
-"""Prices, minimum orders and lead times read from free text, in SQL functions only."""
+"""What is read from free text, by name: messages and trade terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tradewind.functions.messages import clean, is_supplier_offer, prices, split_quantity, without_prices
+from tradewind.functions.terms import lead_days, lead_time, minimum_order, mixed_load
 
-from tradewind.functions import offers as fn
-from tradewind.functions.js import blank
-
-# The vocabularies of suppliers' messages.
-_SYMBOL = "€|£|\\$"
-_CODE = "eur|euros?|usd|gbp|aed|sgd"
-_MONEY_WORD = "eur|euros?|usd|dollars?|gbp|pounds?|sterling|aed|sgd|chf|pln|czk|ron|dkk|sek|nok"
-_PRICE_UNIT = "btl|bottle|bottles|btls|cs|case|cases|ctn|carton|pc|pcs|piece|pieces|pack|can|jar|unit|units"
-_COUNT_UNIT = "cases?|cartons?|ctns?|boxes|box|bottles?|btls?|pieces?|pcs?|pallets?|plts?|pals?|units?|each|ea|cs"
-SUPPORTED = ["EUR", "USD", "GBP", "AED", "SGD"]
-_UNIT_KINDS = [("Cases", "cases?|cs"), ("Cartons", "cartons?|ctns?|boxe?s?"), ("Bottles", "bottles?|btls?"), ("Pieces", "pieces?|pcs?|units?|ea|each"), ("Pallets", "pallets?|plts?|pals?")]
-#: Days in each unit of a duration.
-DURATIONS = {
-    "working day": 1.4, "working days": 1.4, "business day": 1.4, "business days": 1.4, "work day": 1.4, "work days": 1.4,
-    "working week": 7, "working weeks": 7, "day": 1, "days": 1, "week": 7, "weeks": 7, "wk": 7, "wks": 7,
-    "month": 30, "months": 30, "mth": 30, "mths": 30, "mo": 30, "mos": 30,
-    "hour": 1 / 24, "hours": 1 / 24, "hr": 1 / 24, "hrs": 1 / 24, "h": 1 / 24,
-}
-LOADS = ["ftl", "full truck load", "full truck loads", "truck load", "truck loads", "full load", "full loads"]
-CONTAINERS = ["fcl", "20 ft", "40 ft", "20 feet", "40 feet", "container", "containers", "cntr", "cntrs"]
-#: What buyers write, without the words in FILLERS and apostrophes.
-BUYING = [
-    "id like quote", "id like price", "send quote", "send best price", "share quote", "share best price", "whats best price",
-    "can you do", "can you beat", "can you match", "looking to buy", "interested in buying", "want to buy", "request quote", "requesting quote",
-]
-FILLERS = ["a", "me", "us", "your", "the"]
-
-_NUMBER = "[0-9]+(?:[.,][0-9]+)?"
-_AMOUNT = "[0-9][0-9.,]*(?:\\s*[km](?![A-Za-z0-9_]))?"
-_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-PRICE = f"(?i)(?:(?:{_SYMBOL}|{_B}(?:{_CODE}){_E})\\s*{_NUMBER}|{_NUMBER}\\s*(?:{_SYMBOL}|{_B}(?:{_CODE}){_E})|{_NUMBER}\\s*/\\s*(?:{_PRICE_UNIT}){_E})(?:\\s*(?:/|{_B}per{_E})\\s*(?:{_PRICE_UNIT}){_E})?"
-_RANGE = f"(?i)(?:{_SYMBOL}|{_B}(?:{_CODE}){_E})\\s*{_NUMBER}\\s*(?:-|–|—|to)\\s*(?:{_SYMBOL}|{_CODE})?\\s*{_NUMBER}"
-_MIN = f"(?i){_B}(?:moq|minimum(?:\\s+(?:order|purchase|shipment|invoice))?(?:\\s+(?:quantity|qty|value|amount))?|order\\s+minimum|min(?=\\s*[:=.-]?\\s*(?:order|qty|quantity|value|amount|mixed|purchase|[0-9]|{_SYMBOL}|(?:{_MONEY_WORD}){_E}))){_E}"
-_NONE = f"(?i){_B}(?:no\\s*(?:minimum(?:\\s+order)?|min|moq){_E}|(?:moq|minimum(?:\\s+order)?)\\s*[:=-]?\\s*(?:none|nil|n/?a|no|0){_E}|any\\s+quantity)"
-_MIXED_NO = f"(?i){_B}(?:no\\s+mix(?:ing|ed)?|not\\s+mixed|can(?:not|'?t)\\s+be\\s+mixed|full\\s+pallets?\\s+only|single\\s+(?:sku|variant|brand)\\s+only){_E}"
-_MIXED_YES = f"(?i){_B}(?:mixed|can\\s+be\\s+mixed|mix(?:ing)?\\s+(?:allowed|possible|permitted|ok|available)|flexible\\s+variants?|assorted){_E}"
-_STOCK = f"(?i){_B}(?:ex[\\s-]?stock|in\\s+stock|on\\s+(?:the\\s+)?floor|immediate(?:ly)?|prompt|ready\\s+(?:now|to\\s+ship)|stock\\s+available){_E}"
-_NO_STOCK = f"(?i){_B}(?:not?\\s+(?:in\\s+)?stock|out\\s+of\\s+stock){_E}"
-
-
-def clean(text: Column) -> Column:
-    """A message without zero-width characters, pictographs and markdown; dirhams as AED."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, by in (("\\r|[\\u200B-\\u200D\\uFEFF]", ""), ("[\\u2190-\\u21FF\\u2600-\\u27BF\\u2B00-\\u2BFF\\uFE0F\\u20E3\\x{1F000}-\\x{1FAFF}]", " "), ("[*_~`]+", " "), (f"(?i){_B}dh?s{_E}", "AED"), ("[ \\t]+", " ")):
-        out = F.regexp_replace(out, pattern, by)
-    return out
-
-
-def prices(line: Column) -> Column:
-    """All price tokens, "2 EUR per pcs" as "2 EUR/pcs"."""
-    return F.transform(F.regexp_extract_all(line, F.lit(PRICE), F.lit(0)), lambda p: F.regexp_replace(F.trim(p), f"(?i)\\s*{_B}per{_E}\\s*", "/"))
-
-
-def _phrases(values) -> str:
-    """A pattern of the phrases, longest first; their spaces may be missing or more."""
-    return "|".join(v.replace(" ", "\\s*") for v in sorted(values, key=len, reverse=True))
-
-
-def is_supplier_offer(text: Column) -> Column:
-    """Has a price and is not written by a buyer."""
-    words = F.split(F.lower(F.regexp_replace(text, "['’]", "")), "[^a-z]+")
-    said = F.transform(F.filter(words, lambda w: ~w.isin(FILLERS)), lambda w: F.when(F.startswith(w, F.lit("quot")), "quote").otherwise(w))
-    line = F.concat(F.lit(" "), F.array_join(said, " "), F.lit(" "))
-    buys = F.exists(F.array(*[F.lit(f" {p} ") for p in BUYING]), lambda p: F.contains(line, p))
-    return text.rlike(PRICE) & ~buys
-
-
-def without_prices(line: Column) -> Column:
-    """The product that a priced line names."""
-    rest = F.regexp_replace(F.regexp_replace(line, PRICE, " "), "(?i)\\b(?:exw|dap|fob|cif)\\b.*\\z", " ")
-    return fn.clean_name(F.regexp_replace(F.regexp_replace(rest, "[\\s@–—-]+\\z", ""), "\\s+", " "))
-
-
-def offer_lines(text: Column) -> Column:
-    """array<struct<line, product, price, reason>> of a message, one for each line that has
-    a price, or one refusal for the whole.
-
-    With two priced product lines or more a message is a list, and each stands for itself.
-    Else its only price belongs to the first line that names a product. Ranges and several
-    different prices are refused, as are messages without price or product.
-    """
-    lines = F.filter(F.transform(F.split(clean(text), "\\n"), lambda x: F.trim(x)), lambda x: x != "")
-    read = F.transform(lines, lambda x, k: F.struct(k.alias("line"), without_prices(x).alias("product"), prices(x).alias("prices"), x.rlike(_RANGE).alias("range")))
-
-    def decide(found: Column) -> Column:
-        def named(x: Column) -> Column:
-            return x["product"].rlike("[A-Za-z]{2}")
-
-        priced = F.filter(found, lambda x: F.size(x["prices"]) > 0)
-        listed = F.filter(priced, named)
-        distinct = F.array_distinct(F.flatten(F.transform(priced, lambda x: x["prices"])))
-        first = F.get(F.filter(found, named), F.lit(0))
-        row = lambda line, product, price, reason: F.struct(line.alias("line"), product.alias("product"), price.alias("price"), reason.alias("reason"))
-
-        def refused(reason: str) -> Column:
-            return F.array(row(F.lit(0), F.coalesce(first["product"], F.lit("")), F.lit(""), F.lit(reason)))
-
-        reason = lambda x: F.when(x["range"], "price range").when(F.size(F.array_distinct(x["prices"])) > 1, "several prices").otherwise("")
-        each = F.transform(listed, lambda x: row(x["line"], x["product"], F.when(reason(x) == "", F.get(x["prices"], F.lit(0))).otherwise(F.lit("")), reason(x)))
-        return (
-            F.when(F.size(listed) >= 2, each)
-            .when(F.exists(found, lambda x: x["range"]), refused("price range"))
-            .when(F.size(distinct) == 0, refused("no price"))
-            .when(F.size(distinct) > 1, refused("several prices"))
-            .when(first.isNull(), refused("no product"))
-            .otherwise(F.array(row(first["line"], first["product"], F.get(distinct, F.lit(0)), F.lit(""))))
-        )
-
-    return F.get(F.transform(F.array(read), decide), F.lit(0))
-
-
-def _currency(symbol: Column) -> Column:
-    s = F.lower(symbol)
-    return (
-        F.when(s.isin("€", "eur", "euro", "euros"), "EUR")
-        .when(s.isin("£", "gbp", "pound", "pounds", "sterling"), "GBP")
-        .when(s.isin("$", "usd", "dollar", "dollars"), "USD")
-        .otherwise(F.upper(s))
-    )
-
-
-def minimum_order(text: Column, cell: bool = False) -> Column:
-    """struct<type, qty, currency> or null. Money before counts, counts before loads; a
-    range counts as its lower end; a currency that no field can hold is not stored.
-
-    In free text the first segment that announces a minimum is read; `cell` is a column of
-    its own, read whole.
-    """
-    whole = F.coalesce(text, F.lit(""))
-    if cell:
-        window = whole
-        present = whole != ""
-    else:
-        segment = F.get(F.filter(F.split(whole, "[\\n|;•]"), lambda x: x.rlike(_MIN) | x.rlike(_NONE)), F.lit(0))
-        window, present = segment, segment.isNotNull()
-    money = f"(?i)(?:({_SYMBOL}|{_B}(?:{_MONEY_WORD}){_E})\\s*({_AMOUNT})|({_AMOUNT})\\s*({_SYMBOL}|{_B}(?:{_MONEY_WORD}){_E}))"
-    amounts = F.transform(
-        F.regexp_extract_all(window, F.lit(money), F.lit(0)),
-        lambda m: F.struct(fn.terms_amount(m).alias("qty"), _currency(F.regexp_extract(m, f"(?i){_SYMBOL}|{_MONEY_WORD}", 0)).alias("currency")),
-    )
-    least = F.array_min(F.filter(amounts, lambda a: a["qty"] > 0))
-    count = f"(?i)({_AMOUNT})\\s*(?:-|–|—|to|~)?\\s*(?:{_AMOUNT})?\\s*(?:full\\s+|complete\\s+)?({_COUNT_UNIT}){_E}"
-
-    def kind(m: Column) -> Column:
-        word = F.regexp_extract(m, f"(?i)({_COUNT_UNIT})\\z", 1)
-        out = None
-        for name, words in _UNIT_KINDS:
-            hit = word.rlike(f"(?i)^(?:{words})\\z")
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-        return out
-
-    counts = F.transform(F.regexp_extract_all(window, F.lit(count), F.lit(0)), lambda m: F.struct(kind(m).alias("type"), fn.terms_amount(F.regexp_extract(m, f"(?i)^{_AMOUNT}", 0)).alias("qty")))
-    counts = F.filter(counts, lambda c: c["type"].isNotNull() & (c["qty"] > 0))
-    first = F.get(counts, F.lit(0))["type"]
-    same = F.array_min(F.transform(F.filter(counts, lambda c: c["type"] == first), lambda c: c["qty"]))
-    loads = lambda values: F.regexp_extract(window, f"(?i)(?:[0-9]+\\s*[x×]?\\s*)?{_B}(?:{_phrases(values)}){_E}", 0)
-    load, box = loads(LOADS), loads(CONTAINERS)
-
-    def term(name: Column | str, qty: Column, currency: Column | str = "") -> Column:
-        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(lit(name).alias("type"), qty.cast("double").alias("qty"), lit(currency).alias("currency"))
-
-    leading = lambda x: blank(F.regexp_extract(x, "^[0-9]+", 0))
-    nothing = F.lit(None).cast("double")
-    stated = F.when(~present, None).when(window.rlike(_NONE), term("No Minimum", nothing))
-    stated = stated.when(least["currency"].isin(SUPPORTED), term("Order Value", least["qty"], least["currency"])).when(least.isNotNull(), term("Applies — Unspecified", nothing))
-    stated = stated.when(same.isNotNull(), term(first, F.floor(same + 0.5)))
-    stated = stated.when(load != "", term("Full Truckload", leading(load))).when(box != "", term("Container", leading(box)))
-    return stated.otherwise(term("Applies — Unspecified", nothing))
-
-
-def lead_days(text: Column) -> Column:
-    """The longest duration in days; zero for ex-stock and same day; null if none is given."""
-    whole = F.coalesce(text, F.lit(""))
-    pattern = f"(?i){_NUMBER}\\s*[-–—~+]?(?:to)?\\s*(?:{_NUMBER})?\\s*(?:{_phrases(DURATIONS)}){_E}"
-    units = F.create_map(*[F.lit(x) for unit, n in DURATIONS.items() for x in (unit.replace(" ", ""), float(n))])
-
-    def days(m: Column) -> Column:
-        numbers = F.regexp_extract_all(m, F.lit(_NUMBER), F.lit(0))
-        n = F.replace(F.element_at(numbers, -1), F.lit(","), F.lit(".")).try_cast("double")
-        unit = F.regexp_replace(F.lower(F.regexp_extract(m, "(?i)(?:(?:working|business|work)\\s*)?[a-z]+\\z", 0)), "\\s+", "")
-        return F.ceil(F.round(n * units[unit], 6)).cast("int")
-
-    longest = F.array_max(F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), days))
-    other = F.when(whole.rlike(f"(?i){_B}same[\\s-]day{_E}"), 0).when(whole.rlike(f"(?i){_B}(?:next[\\s-]day|overnight){_E}"), 1).when(whole.rlike(_NO_STOCK), None).when(whole.rlike(_STOCK), 0)
-    return F.coalesce(longest, other)
-
-
-def mixed_load(text: Column) -> Column:
-    """False beats true; silence is null."""
-    return F.when(text.rlike(_MIXED_NO), False).when(text.rlike(_MIXED_YES), True)
+__all__ = ["clean", "is_supplier_offer", "lead_days", "lead_time", "minimum_order", "mixed_load", "prices", "split_quantity", "without_prices"]

@@ -83,15 +83,23 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS contact_id, CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 23 = 0 THEN CAST(c_custkey AS STRING) || '@g.us' ELSE CAST(c_custkey % 1100 AS STRING) || '@c.us' END AS chat,
                c_name AS name, CASE WHEN c_custkey % 29 = 0 THEN '' ELSE n_name END AS country, c_mktsegment AS segment
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
-    # Supplier messages, of six shapes.
+    # Supplier messages of one to four lines, each put together from parts that vary apart from each other.
     "messages": """
-        SELECT p_partkey AS message_id, CASE p_partkey % 6
-            WHEN 0 THEN 'Offer today' || chr(10) || p_name || ' EUR 5.95/btl' || chr(10) || 'Nescafé gold 7,50 € per pcs EXW Harbour'
-            WHEN 1 THEN '*' || p_name || '*' || chr(10) || 'Price: ' || CAST(p_size AS STRING) || ' dhs'
-            WHEN 2 THEN p_name || ' EUR 5 - 6'
-            WHEN 3 THEN 'We are looking to buy ' || p_name || ' at USD 4.10'
-            WHEN 4 THEN p_name || ' EUR 5 or EUR 7'
-            ELSE p_name || ' available' END AS text
+        SELECT p_partkey AS message_id, concat_ws(chr(10),
+            CASE WHEN p_partkey % 11 = 3 THEN 'Can you match this?' WHEN p_partkey % 4 = 0 THEN '*Stock offer* (Ex Loen | 6-7 weeks)' WHEN p_partkey % 4 = 1 THEN 'Good morning' END,
+            CASE p_partkey % 13 WHEN 0 THEN '3 truckloads ' WHEN 1 THEN CAST(p_size AS STRING) || ' cs ' ELSE '' END || p_name
+            || CASE p_partkey % 5 WHEN 0 THEN ' 6x70cl' WHEN 1 THEN ' 24 x 330ml' WHEN 2 THEN ' (12 × 35 CL)' WHEN 3 THEN ' ' || CAST(p_size AS STRING) || 'cl' ELSE '' END
+            || CASE p_partkey % 7 WHEN 0 THEN ' – 1,250 cs' WHEN 1 THEN ' - 2 loads' WHEN 2 THEN ' - FTL' WHEN 3 THEN ' - EXW PLG - ' || CAST(p_size AS STRING) || ' btls available' ELSE '' END
+            || CASE WHEN p_partkey % 23 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN ' @ EUR 5 - EUR 6' WHEN p_partkey % 17 = 0 THEN ' @ about EUR ' || CAST(p_size AS STRING)
+                    WHEN p_partkey % 3 = 0 THEN ' @ EUR ' || CAST(1 + p_partkey % 97 AS STRING) || '.' || CAST(10 + p_partkey % 89 AS STRING)
+                    WHEN p_partkey % 3 = 1 THEN ': ' || CAST(1 + p_partkey % 97 AS STRING) || ',' || CAST(10 + p_partkey % 89 AS STRING) || ' €/btl'
+                    ELSE ' Price: ' || CAST(1 + p_partkey % 97 AS STRING) || ' dhs per case' END
+            || CASE p_partkey % 6 WHEN 0 THEN ' | DAP Loen' WHEN 1 THEN ' EXW Riga' WHEN 2 THEN ' T1' WHEN 3 THEN ' | lead time 10 days' ELSE '' END,
+            CASE p_partkey % 8 WHEN 0 THEN 'Nescafé gold 200g – 1,250 cs 7,50 € per pcs' WHEN 1 THEN p_brand || ' 33cl @ EUR 2.' || CAST(10 + p_size AS STRING) WHEN 2 THEN 'bbd 04/2028'
+                WHEN 3 THEN 'price for all EUR 9.99' WHEN 4 THEN '48 cases per pallet' WHEN 5 THEN p_brand || ' loose - 2,400 btls @ EUR 163/btl' END,
+            CASE p_partkey % 9 WHEN 0 THEN 'MOQ: 2 pallets. thanks' WHEN 1 THEN 'Lead time: 10 days' WHEN 2 THEN 'EAN: 5012345678900' WHEN 3 THEN 'EXW Poland or Riga'
+                WHEN 4 THEN '24 pcs per case' WHEN 5 THEN 'bbd: 05/2027 - 04/2028' END) AS text,
+            CASE WHEN p_partkey % 2 = 0 THEN 'FCA' END AS own_incoterm, CASE WHEN p_partkey % 3 = 0 THEN '14 days' ELSE '' END AS own_lead
         FROM {part}""",
     # Lines of buyers' enquiries, of seven shapes.
     "enquiry_lines": """
@@ -105,18 +113,24 @@ VIEWS: dict[str, str] = {
             CASE p_partkey % 4 WHEN 0 THEN 'eur' WHEN 1 THEN 'PLN' WHEN 2 THEN '' END AS currency,
             CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS STRING) || ' cs' WHEN 1 THEN '-4' WHEN 2 THEN 'some' WHEN 3 THEN '1,250.5' END AS qty
         FROM {part}""",
+    # Suppliers' lines with terms in any of five columns, and the supplier's defaults.
     "term_lines": """
-        SELECT p_partkey AS line_id, CASE p_partkey % 8
-            WHEN 0 THEN 'MOQ ' || CAST(1 + p_size AS STRING) || ' cases, lead time 2-3 weeks'
-            WHEN 1 THEN 'Minimum mixed order USD 35,000; ex stock'
-            WHEN 2 THEN 'no minimum, can be mixed'
-            WHEN 3 THEN 'Minimum order 35.000 CHF'
-            WHEN 4 THEN 'min 1 FTL | delivery 10 working days, full pallets only'
-            WHEN 5 THEN 'MOQ: 2 containers'
-            WHEN 6 THEN 'delivery in 36 hours'
-            ELSE p_name END AS line,
-            CASE WHEN p_partkey % 3 = 0 THEN 'Lead time 5 days' ELSE '' END AS header, CASE WHEN p_partkey % 5 = 0 THEN 14 END AS default_days
+        SELECT p_partkey AS line_id,
+            p_name || CASE p_partkey % 6 WHEN 0 THEN ' 12x70cl MOQ ' || CAST(1 + p_size AS STRING) || ' cases' WHEN 1 THEN ' — Lead time 2 weeks' WHEN 2 THEN ' min = ' || CAST(3 * p_size AS STRING) || ' cases'
+                WHEN 3 THEN ' MOQ 50 cases - lead time 3-' || CAST(4 + p_size AS STRING) || ' weeks' ELSE '' END AS name,
+            CASE p_partkey % 11 WHEN 0 THEN CAST(10 + p_size AS STRING) || ' cases' WHEN 1 THEN 'USD 3' || CAST(p_size % 10 AS STRING) || ',000' WHEN 2 THEN 'MOQ: ' || CAST(p_size AS STRING) WHEN 3 THEN 'Minimum order 35.000 CHF'
+                WHEN 4 THEN 'no minimum' WHEN 5 THEN 'ask' WHEN 6 THEN 'MOQ EUR 20,000 or 500 cases' WHEN 7 THEN ' ' END AS moq,
+            CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS STRING) || ' days' WHEN 1 THEN '2-3 weeks' WHEN 2 THEN 'READY' WHEN 3 THEN 'tbc' WHEN 4 THEN '10 working days' WHEN 5 THEN '' END AS lead,
+            CASE p_partkey % 5 WHEN 0 THEN 'can be mixed' WHEN 1 THEN 'min order 15k GBP per shipment' WHEN 2 THEN 'full pallets only; dispatch 48 hours' WHEN 3 THEN 'MOQ on request' END AS notes,
+            CASE p_partkey % 4 WHEN 0 THEN 'Lead time 5 days' WHEN 1 THEN 'Minimum mixed order USD 25,000' ELSE '' END AS header,
+            CASE p_partkey % 9 WHEN 0 THEN 'Cases' WHEN 1 THEN 'pallets' WHEN 2 THEN 'nonsense' END AS default_unit, CAST(p_partkey % 4 * 10 AS INT) AS default_qty, CASE WHEN p_partkey % 5 < 2 THEN 14 END AS default_days
         FROM {part}""",
+    # What suppliers' systems send: numbers, dates and JSON as text, some of it broken.
+    "raw_rows": """
+        SELECT event_id AS row_id, CASE event_id % 7 WHEN 0 THEN 'n/a' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS STRING) END AS qty,
+               CASE event_id % 5 WHEN 0 THEN '2024-02-31' WHEN 1 THEN 'soon' ELSE '2024-01-1' || CAST(event_id % 10 AS STRING) END AS offered,
+               CASE event_id % 6 WHEN 0 THEN '"k": ' WHEN 1 THEN NULL ELSE props END AS props, event_type
+        FROM {events}""",
     # Parser results: one row for each order line.
     "parse_rows": """
         SELECT l_suppkey AS supplier, CASE WHEN l_returnflag = 'R' THEN 'Unrecognised' WHEN l_linestatus = 'O' THEN 'Partial' ELSE 'Clean' END AS status,
