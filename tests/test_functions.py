@@ -111,3 +111,33 @@ def test_client_names(spark):
     df = spark.createDataFrame(rows, "cached string, links array<string>, notes string")
     got = df.select(intake.client_name(*map(F.col, df.columns))).collect()
     assert [r[0] for r in got] == ["Ann", "Bo", "Cy", "", ""]
+
+
+def test_search_requests_round_trip():
+    from tradewind.operators.search_request import SearchRequest
+
+    full = SearchRequest.from_query("?q=caf%C3%A9+x&cat=A%2CB,C%26D&stock=1&cur=usd&min=1.5&max=oops&sort=old&view=table")
+    assert full == SearchRequest("café x", "rel", True, "USD", 1.5, None, "table", {"cat": ["A", "B", "C&D"]})
+    assert SearchRequest.from_query(full.to_query()) == full
+    assert SearchRequest.from_query("").to_query() == "" and SearchRequest.from_query("?cat=,,&min=").facets == {}
+    assert SearchRequest("00012345678, 1234567").barcodes() is None and SearchRequest("00012345678\n12345678").barcodes() == ["12345678", "12345678"]
+    assert SearchRequest("gin 12345678").barcodes() is None and SearchRequest(" ").barcodes() is None
+
+
+def test_persistent_index_reads_only_matching_buckets(spark):
+    from tradewind.operators.search_index import SearchIndex
+
+    docs = spark.createDataFrame([(k, f"word{k} common", "6 x 330ml", None) for k in range(50)] + [(60, None, None, None), (None, "word1", "", None)], "ord long, name string, spec string, token string")
+    index = SearchIndex.build(docs, ["name"], ["spec"], buckets=16)
+    found = index.search("word7")
+    assert [tuple(r) for r in found.collect()] == [(7, 2.0, 1)]
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a partition for each file that is read
+    read = index.postings().rdd.getNumPartitions(), index.postings().where("token IN ('word7')").rdd.getNumPartitions()
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert read[0] > 8 and read[1] == 1
+    assert index.search("the").count() == 52 and index.search("zzz zzz").count() == 0
+    assert {r["ord"] for r in index.search("word1 qqqqqq").collect()} == {1, None, *range(10, 20)}
+    plain = {tuple(r) for r in search.search(search.index(docs, ["name"], ["spec"]), "comon 330ml").collect()}
+    assert {tuple(r) for r in index.search("comon 330ml").collect()} == plain and len(plain) == 50
+    empty = SearchIndex.build(docs.where("false"), ["name"], ["spec"])
+    assert empty.search("word7").count() == 0 and empty.search("").count() == 0

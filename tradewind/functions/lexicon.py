@@ -37,7 +37,7 @@ class Lexicon:
 
     def tokens(self, text: Sql) -> Sql:
         """array<struct<start, end, value, kind>>"""
-        known = _table(self.letter_of)
+        known = table(self.letter_of)
 
         def kind(t: Sql) -> Sql:
             shape = S.when(t["value"].rlike("^[0-9]"), self.plain_number).when(t["value"].rlike(r"^\p{L}"), self.plain_word).otherwise(self.other)
@@ -73,11 +73,11 @@ class Lexicon:
         return S.get(S.filter(parts, lambda t: S.contains(S.lit(self.classes[name]), t["kind"])), S.lit(nth))["value"]
 
 
-def _table(pairs: dict[str, str]) -> Sql:
+def table(pairs: dict[str, str]) -> Sql:
     """A constant map, as one literal to plan."""
     return S.str_to_map(S.lit("\u0002".join(f"{k}\u0001{v}" for k, v in pairs.items())), S.lit("\u0002"), S.lit("\u0001"))
 
 
-def mapped(value: Sql, table: dict[str, list[str]]) -> Sql:
+def mapped(value: Sql, lists: dict[str, list[str]]) -> Sql:
     """The key under which value, in lower case, is listed."""
-    return S.try_element_at(_table({word: key for key, words in table.items() for word in words}), S.lower(value))
+    return S.try_element_at(table({word: key for key, words in lists.items() for word in words}), S.lower(value))

@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tradewind.functions.brands import _ACCENTED, _PLAIN
-from tradewind.functions.js import half_up
+from tradewind.functions.lexicon import table
+from tradewind.functions.sqltext import S, Sql, let, on_columns
 
 # Units with their millilitres or grams, words for one thing, words without meaning.
 MILLILITRES = {
@@ -35,49 +36,51 @@ _WORD = rf"[a-z0-9%]+?(?=(?<![0-9])(?:{_SIZE}|{_SHARE})|(?![a-z0-9%]))"
 _LEXEME = f"{_SIZE}|{_SHARE}|{_PACK}|{_BARE}|{_WORD}"
 
 
-def strip_accents(text: Column) -> Column:
+def strip_accents(text: Sql) -> Sql:
     """Lower case; letters that are a letter and an accent lose the accent."""
-    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), "[\\u0300-\\u036f]", "")
+    return S.regexp_replace(S.translate(S.lower(text), _ACCENTED, _PLAIN), "[\\u0300-\\u036f]", "")
 
 
-def stem(word: Column) -> Column:
+def stem(word: Sql) -> Sql:
     """A plural in s or ies of five plain letters or more as its singular."""
     plain = word.rlike("^[a-z]{5,}\\z") & word.rlike("[^suiy]s\\z|ies\\z")
-    return F.when(plain & word.rlike("ies\\z"), F.concat(F.left(word, F.length(word) - 3), F.lit("y"))).when(plain, F.left(word, F.length(word) - 1)).otherwise(word)
+    return S.when(~plain, word).when(S.endswith(word, "ies"), S.concat(S.left(word, S.length(word) - 3), "y")).otherwise(S.left(word, S.length(word) - 1))
 
 
-def _factors(units: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for name, n in units.items() for x in (name, float(n))])
+def _factor(unit: Sql, units: dict[str, float]) -> Sql:
+    return S.try_element_at(table({name: str(n) for name, n in units.items()}), unit).cast("double")
 
 
-def _words_of(lexeme: Column, before: Column) -> Column:
-    """The words of one lexeme, unknown words as they are."""
-    tight = F.regexp_replace(lexeme, "\\s+", "")
-    number = F.replace(F.regexp_extract(tight, "^[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit("."))
-    value, unit = number.try_cast("double"), F.regexp_extract(tight, "[a-z]+\\z", 0)
-    ml, g = (F.element_at(_factors(units), unit) for units in (MILLILITRES, GRAMS))
-    whole = lambda x: half_up(x).cast("long").cast("string")
-    bare = tight.rlike("^[0-9]+(?:\\.[0-9]+)?\\z")
-    decimal, packed = F.contains(tight, F.lit(".")), F.coalesce(before.rlike("^[0-9]+\\s*x"), F.lit(False))
-    litres = bare & decimal & F.when(packed, value < 10).otherwise(tight.rlike("^[0-9]\\.[0-9]{1,2}\\z"))
-    one = (
-        F.when(lexeme.rlike(f"^{_SIZE}\\z") & ml.isNotNull(), F.concat(whole(value * ml), F.lit("ml")))
-        .when(lexeme.rlike(f"^{_SIZE}\\z"), F.concat(whole(value * g), F.lit("g")))
-        .when(litres, F.concat(whole(value * 1000), F.lit("ml")))
-        .when(bare & packed & ~decimal & (value >= 100), F.concat(tight, F.lit("ml")))
-    )
-    return F.when(one.isNotNull(), F.array(one)).otherwise(F.split(tight, "\\."))
+def _words_of(lexeme: Sql, before: Sql) -> Sql:
+    """The words of one lexeme. Most are plain words and go no further."""
+    whole = lambda x: S.floor(x + 0.5).cast("bigint").cast("string")
 
+    def number(tight: Sql) -> Sql:
+        def read(n: Sql) -> Sql:
+            value, unit = n["value"], n["unit"]
+            bare, decimal = tight.rlike("^[0-9]+(?:\\.[0-9]+)?\\z"), S.contains(tight, ".")
+            packed = S.coalesce(before.rlike("^[0-9]+\\s*x"), False)
+            litres = bare & decimal & S.when(packed, value < 10).otherwise(tight.rlike("^[0-9]\\.[0-9]{1,2}\\z"))
+            sized = lexeme.rlike(f"^{_SIZE}\\z")
+            one = S.when(sized & n["ml"].isNotNull(), S.concat(whole(value * n["ml"]), "ml")).when(sized, S.concat(whole(value * _factor(unit, GRAMS)), "g"))
+            one = one.when(litres, S.concat(whole(value * 1000), "ml")).when(bare & packed & ~decimal & (value >= 100), S.concat(tight, "ml"))
+            return let(one, lambda w: S.when(w.isNotNull(), S.array(w)).otherwise(S.split(tight, "\\.", -1)))
 
-def tokens(text: Column) -> Column:
+        digits = S.replace(S.regexp_extract(tight, "^[0-9]+(?:[.,][0-9]+)?", 0), ",", ".")
+        unit = S.regexp_extract(tight, "[a-z]+\\z", 0)
+        return let(S.struct(digits.try_cast("double").alias("value"), unit.alias("unit"), _factor(unit, MILLILITRES).alias("ml")), read)
+
+    return S.when(lexeme.rlike("^[0-9]"), let(S.regexp_replace(lexeme, "\\s+", ""), number)).otherwise(S.split(lexeme, "\\.", -1))
+
+
+@on_columns
+def tokens(text: Sql) -> Sql:
     """The search words of a text, in order; null has none."""
-    plain = F.replace(F.regexp_replace(strip_accents(F.coalesce(text, F.lit(""))), "[’'`]", ""), F.lit("×"), F.lit("x"))
-    plain = F.regexp_replace(plain, "(?<=[0-9]),(?=[0-9]{3}(?![a-z0-9_]))", "")
-    found = F.regexp_extract_all(plain, F.lit(_LEXEME), F.lit(0))
-    every = F.get(F.transform(F.array(found), lambda all_: F.flatten(F.transform(all_, lambda x, k: _words_of(x, F.get(all_, k - 1))))), F.lit(0))
-    same = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    kept = F.filter(every, lambda w: ~w.isin(STOP) & (w != ""))
-    return F.filter(F.transform(kept, lambda w: stem(F.coalesce(F.element_at(same, w), w))), lambda w: ~w.isin(STOP))
+    plain = S.replace(S.regexp_replace(strip_accents(S.coalesce(text, "")), "[’'`]", ""), "×", "x")
+    plain = S.regexp_replace(plain, "(?<=[0-9]),(?=[0-9]{3}(?![a-z0-9_]))", "")
+    every = let(S.regexp_extract_all(plain, _LEXEME, 0), lambda all_: S.flatten(S.transform(all_, lambda x, k: _words_of(x, S.get(all_, k - 1)))))
+    kept = S.filter(every, lambda w: ~w.isin(STOP) & (w != ""))
+    return S.filter(S.transform(kept, lambda w: let(S.coalesce(S.try_element_at(table(SYNONYMS), w), w), stem)), lambda w: ~w.isin(STOP))
 
 
 def normalise(text: Column) -> Column:

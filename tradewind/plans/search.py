@@ -2,45 +2,40 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import offers as fn
 from tradewind.functions import words
 from tradewind.functions.js import numbered
+from tradewind.operators import search_request as sr
+from tradewind.operators.search_index import index_of, match, postings
 from tradewind.plans.registry import query
 
-#: Weights of strong and weak fields, and of exact, prefix and fuzzy matches.
-STRONG, WEAK, EXACT, PREFIX, FUZZY = 2, 1, 1.0, 0.6, 0.45
-
-
 def index(docs: DataFrame, strong: list[str], weak: list[str], key: str = "ord") -> DataFrame:
     """(key, token, weight): each token of a row once, strong before weak."""
-    each = [docs.select(key, F.explode(F.array_distinct(words.tokens(F.concat_ws(" ", *cols)))).alias("token"), F.lit(w).alias("weight")) for cols, w in ((strong, STRONG), (weak, WEAK))]
-    return each[0].union(each[1]).groupBy(key, "token").agg(F.max("weight").alias("weight"))
+    return postings(docs, strong, weak, key)
 
 
-def search(postings: DataFrame, text: str, key: str = "ord") -> DataFrame:
-    """(key, score, matched): rows that match every query token, or all but one if none
-    does; every row, with score 0, if the query has no token. Query tokens, a handful, meet
-    the distinct vocabulary, then postings."""
-    spark = postings.sparkSession
-    asked = spark.range(1).select(F.array_distinct(words.tokens(F.lit(text)))).first()[0]
+def search(rows: DataFrame, text: str, key: str = "ord") -> DataFrame:
+    """SearchIndex.search over postings that lie in no table of their own."""
+    spark = rows.sparkSession
+    asked = spark.sql("SELECT :text AS text", args={"text": text}).select(F.array_distinct(words.tokens(F.col("text")))).first()[0]
     if not asked:
-        return postings.select(key).distinct().select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
+        return rows.select(key).distinct().select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
     wanted = spark.createDataFrame([(w,) for w in asked], "q string")
-    vocab = postings.select("token").distinct()
-    q, v = F.col("q"), F.col("token")
-    budget = F.when(~q.rlike("^[a-z]+\\z"), 0).when(F.length(q) >= 8, 2).when(F.length(q) >= 4, 1).otherwise(0)
-    near = (budget > 0) & v.rlike("^[a-z]+\\z") & (F.abs(F.length(q) - F.length(v)) <= budget) & (F.levenshtein(q, v) <= budget)
-    base = F.when(q == v, EXACT).when((F.length(q) >= 2) & F.startswith(v, q), PREFIX).when(near, FUZZY)
-    matches = vocab.join(F.broadcast(wanted), base.isNotNull()).select("token", "q", base.alias("base"))
-    best = postings.join(matches, "token").groupBy(key, "q").agg(F.max(F.col("base") * F.col("weight")).alias("s"))
-    rows = best.groupBy(key).agg(F.sum(F.col("s").cast("decimal(10,4)")).cast("double").alias("score"), F.count(F.lit(1)).alias("matched"))
-    need = rows.agg(F.when(F.max("matched") >= len(asked), len(asked)).otherwise(max(len(asked) - 1, 1)).alias("need"))
-    return rows.withColumn("_j", F.lit(1)).join(F.broadcast(need.withColumn("_j", F.lit(1))), "_j").where("matched >= need").select(key, "score", "matched")
+    base = match(F.col("q"), F.col("token"))
+    matches = rows.select("token").distinct().join(F.broadcast(wanted), base.isNotNull()).select("token", "q", base.alias("base"))
+    best = rows.join(matches, "token").groupBy(key, "q").agg(F.max(F.col("base") * F.col("weight")).alias("s"))
+    found = best.groupBy(key).agg(F.sum(F.col("s").cast("decimal(10,4)")).cast("double").alias("score"), F.count(F.lit(1)).alias("matched"))
+    need = found.agg(F.when(F.max("matched") >= len(asked), len(asked)).otherwise(max(len(asked) - 1, 1)).alias("need"))
+    return found.join(F.broadcast(need), F.col("matched") >= F.col("need")).select(key, "score", "matched")
 
 
+#: Strong and weak fields of the catalogue's index.
+FIELDS = ["brand", "name"], ["spec", "category", "tier"]
 _SAME = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words.SYNONYMS.items())
 _STOP = ", ".join(f"'{w}'" for w in words.STOP)
 #: The words of a text whose only sizes are "6 x 110ml": packs are joined, then plain runs.
@@ -68,7 +63,8 @@ def stemmed_texts(o: DataFrame) -> DataFrame:
 
 @query("q1_build_index", f"SELECT token, count(*) AS docs, CAST(sum(weight) AS BIGINT) AS weight FROM ({_INDEX}) GROUP BY token", "offers")
 def build_index(o: DataFrame) -> DataFrame:
-    return index(o, ["brand", "name"], ["spec", "category", "tier"]).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight"))
+    """Writes the index and gives its vocabulary."""
+    return index_of(o, *FIELDS, fresh=True).words()
 
 
 def _search_sql(asked: list[str]) -> str:
@@ -82,12 +78,12 @@ def _search_sql(asked: list[str]) -> str:
 
 @query("q2_j9_search_typo", _search_sql(["110ml", "widgt"]), "offers")
 def search_typo(o: DataFrame) -> DataFrame:
-    return search(index(o, ["brand", "name"], ["spec", "category", "tier"]), "widgt 110ml")
+    return index_of(o, *FIELDS).search("widgt 110ml")
 
 
 @query("q2_search_fallback", _search_sql(["red", "wid", "zzzzzz"]), "offers")
 def search_fallback(o: DataFrame) -> DataFrame:
-    return search(index(o, ["brand", "name"], ["spec", "category", "tier"]), "red wid zzzzzz")
+    return index_of(o, *FIELDS).search("red wid zzzzzz")
 
 
 
@@ -176,3 +172,71 @@ def price_range(o: DataFrame) -> DataFrame:
 def facet_chips(o: DataFrame) -> DataFrame:
     counts = facet_counts(o, {}, F.lit(True))
     return counts.withColumn("r", numbered(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where("r <= 14")
+
+
+#: Links as buyers share them; each is planned on its own.
+LINKS = [
+    "?q=widgt+110ml&stock=1",
+    "?q=050000004%2C%2070000015&sort=asc",
+    "?q=50000008;00050000010&cat=SMALL,ECONOMY",
+    "?cat=ECONOMY,PROMO&bond=T1,Enquire&cur=eur&min=900&max=950.5&sort=desc",
+    "?q=red&wh=North%20Depot&sort=new&view=table",
+    "?stock=1&inco=EXW",
+    "?q=the%20x&moq=Pallet+minimum&cur=USD&min=oops",
+    "?q=zzzzzz",
+]
+_PRICE = "coalesce(CASE WHEN price_basis IN ('case', 'pack') THEN floor(amount / pack * 10000 + 0.5) / 10000 END, amount)"
+
+
+def _priced() -> Column:
+    unit = F.when(F.col("price_basis").isin("case", "pack"), F.floor(F.col("amount") / F.col("pack") * 10000 + 0.5) / 10000)
+    return F.coalesce(unit, F.col("amount"))
+
+
+def _by_hand(asked: list[str] | None, where: str) -> str:
+    """Rows of one link: found by words or not, and the filters written out."""
+    rows = f"SELECT ord, {_PRICE} AS price, currency, stock, featured, offer_date FROM offers WHERE {where}"
+    if asked is None:
+        return f"SELECT *, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS matched FROM ({rows})"
+    return f"SELECT o.*, f.score, f.matched FROM ({rows}) o JOIN ({_search_sql(asked)}) f ON f.ord = o.ord"
+
+
+def _codes(*keys: str) -> str:
+    listed = ", ".join(f"'{k}'" for k in keys)
+    return f"(ltrim(ean, '0') IN ({listed}) OR ltrim(ean_case, '0') IN ({listed}))"
+
+
+_HAND = [
+    (_by_hand(["widgt", "110ml"], "stock = 'in'"), "matched DESC, score DESC, ord"),
+    (_by_hand(None, _codes("50000004", "70000015")), "price IS NULL, CASE WHEN price IS NOT NULL THEN currency END, price, ord"),
+    (_by_hand(None, f"{_codes('50000008', '50000010')} AND category IN ('SMALL', 'ECONOMY')"), "matched DESC, score DESC, ord"),
+    (_by_hand(None, f"category IN ('ECONOMY', 'PROMO') AND tier IN ('T1', '') AND currency = 'EUR' AND {_PRICE} >= 900 AND {_PRICE} <= 950.5"), "price IS NULL, CASE WHEN price IS NOT NULL THEN currency END, price DESC, ord"),
+    (_by_hand(["red"], "warehouse = 'North Depot'"), "offer_date DESC, ord"),
+    (_by_hand(None, "stock = 'in' AND incoterm = 'EXW'"), "featured DESC, ord"),
+    (_by_hand(None, "moq_type = 'Pallets' AND currency = 'USD'"), "matched DESC, score DESC, ord"),
+    (_by_hand(["zzzzzz"], "true"), "matched DESC, score DESC, ord"),
+]
+_REQUESTS = " UNION ALL ".join(f"SELECT {k} AS link, ord, price, score, matched FROM ({rows})" for k, (rows, _) in enumerate(_HAND))
+_PAGES = " UNION ALL ".join(
+    f"SELECT {k} AS link, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, ord FROM ({rows}) QUALIFY position <= {sr.PAGE}" for k, (rows, order) in enumerate(_HAND)
+)
+
+
+def _links(o: DataFrame) -> list[tuple[sr.SearchRequest, DataFrame]]:
+    index = index_of(o, *FIELDS)
+    requests = [sr.SearchRequest.from_query(link) for link in LINKS]
+    return [(r, sr.results(o, index, facets(), _priced(), r)) for r in requests]
+
+
+@query("q6_q7_requests", _REQUESTS, "offers")
+def requested_rows(o: DataFrame) -> DataFrame:
+    """All rows that each link shows: by barcodes, by words or all, then its filters."""
+    each = [rows.select(F.lit(k).alias("link"), "ord", "price", "score", "matched") for k, (_, rows) in enumerate(_links(o))]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+@query("q7_t1_first_pages", _PAGES, "offers")
+def first_pages(o: DataFrame) -> DataFrame:
+    """The first page of each link, in its order."""
+    each = [sr.page(rows, r).select(F.lit(k).alias("link"), "position", "ord") for k, (r, rows) in enumerate(_links(o))]
+    return functools.reduce(DataFrame.unionByName, each)
