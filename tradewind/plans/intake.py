@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewind.functions import intake
+from tradewind.operators import intake_payload as ip
 from tradewind.plans.registry import query
 
 
@@ -51,3 +52,64 @@ def names(contacts):
     country = F.when((n % 3 == 0) & (F.upper("country") != "UNITED STATES"), "Great Britain").otherwise(F.col("country"))
     category = F.when(n % 5 == 0, " Spirits").when(n % 5 == 1, "Beer").when(n % 5 == 2, "Other FMCG").when(n % 5 == 3, "Other")
     return contacts.select("contact_id", intake.client_name(cached, links, notes).alias("client"), intake.country_key(country).alias("country"), intake.house_minimum(category).alias("minimum"))
+
+
+#: The service's answer unwrapped, its rows, and the lines made of them, in SQL of JSON paths.
+_SERVICE = """
+result AS (SELECT result_id, contact, CASE WHEN json_type(result, '$.fields') = 'OBJECT' THEN json_extract(result, '$.fields') ELSE result::JSON END AS j FROM service_results),
+row_list AS (SELECT result_id, contact, j, unnest(from_json(json_extract(j, '$.results'), '["JSON"]')) AS r, generate_subscripts(from_json(json_extract(j, '$.results'), '["JSON"]'), 1) AS n FROM result),
+made AS (
+    SELECT result_id, n, contact, coalesce(nullif(trim(r->>'$.description'), ''), '(unnamed line)') AS description, CAST(r->>'$.sourceRow' AS BIGINT) AS source_row,
+        coalesce(try_cast(r->>'$.quantity' AS DOUBLE), try_cast(r->>'$.unitsOrdered' AS DOUBLE)) AS qty, nullif(trim(r->>'$.quantityBasis'), '') AS unit,
+        json_type(r, '$.match') = 'OBJECT' AS has, concat_ws(' ', nullif(r->>'$.match.brand', ''), nullif(r->>'$.match.productName', '')) AS name, r->>'$.match.brand' AS brand, CAST(r->>'$.match.volumeMl' AS DOUBLE) AS volume_ml,
+        (r->>'$.needsReview') = 'true' AS review, r->>'$.wholesalePrice' AS price, regexp_replace(r->>'$.wholesaleBasis', '^Per ', '') AS basis, CAST(r->>'$.customerPriceBase' AS DOUBLE) AS target, r->>'$.note' AS note
+    FROM row_list
+), line_rows AS (
+    SELECT result_id, n, contact, description, source_row, qty, unit, CASE WHEN has THEN CASE WHEN name = '' THEN 'matched' ELSE name END END AS matched, CASE WHEN has THEN brand END AS brand, CASE WHEN has THEN volume_ml END AS volume_ml,
+        CASE WHEN has AND review THEN true END AS needs_review, CASE WHEN has AND price IS NOT NULL THEN price || ' EUR' || CASE WHEN basis <> '' THEN '/' || basis ELSE '' END END AS price, target, note FROM made
+)"""
+
+
+@query(
+    "x28_p13_p14_service_lines",
+    f"""WITH {_SERVICE} SELECT result_id, CAST(n AS INT) AS n, description, source_row, qty, unit, matched, brand, volume_ml, needs_review, price, target, note,
+        1 + (source_row IS NOT NULL)::INT + (qty IS NOT NULL)::INT + (unit IS NOT NULL)::INT + (matched IS NOT NULL)::INT + (brand IS NOT NULL)::INT + (volume_ml IS NOT NULL)::INT + (needs_review IS NOT NULL)::INT
+        + (price IS NOT NULL)::INT + (target IS NOT NULL)::INT + (note IS NOT NULL)::INT AS n_keys FROM line_rows""",
+    "service_results",
+)
+def service_lines(s):
+    """The lines of each answer, and how many keys are left of each when the unknown ones go."""
+    each = s.select("result_id", F.posexplode(ip.lines(ip.parsed(F.col("result")))).alias("at", "l"))
+    keys = F.size(F.json_object_keys(F.to_json("l")))
+    named = [F.col(f"l.{old}").alias(new) for old, new in (("description", "description"), ("sourceRow", "source_row"), ("qty", "qty"), ("unit", "unit"), ("matched", "matched"), ("brand", "brand"), ("volumeMl", "volume_ml"), ("needsReview", "needs_review"), ("price", "price"), ("target", "target"), ("note", "note"))]
+    return each.select("result_id", (F.col("at") + 1).alias("n"), *named, keys.alias("n_keys"))
+
+
+@query(
+    "s19_x25_x31_enquiries",
+    f"""WITH {_SERVICE}, who AS (SELECT DISTINCT result_id, lower(nullif(contact->>'$.email', '')) AS email, nullif(contact->>'$.company', '') AS company, nullif(contact->>'$.name', '') AS name FROM result)
+       SELECT w.result_id, concat_ws(',', CASE WHEN email IS NOT NULL THEN 'email' END, CASE WHEN name IS NOT NULL THEN 'name' END, CASE WHEN company IS NOT NULL THEN 'company' END, 'fileName', 'fileType', CASE WHEN w.result_id % 8 <> 0 THEN 'file' END, 'lines', 'summary') AS keys,
+        concat_ws('; ', CASE WHEN email = 'no address' THEN 'invalid email address' END, CASE WHEN w.result_id % 8 = 0 THEN 'no inquiry file received' END) AS error_text,
+        coalesce(company, name, email, 'Unattributed upload') AS display_name, l.summary AS line_summary, CAST(l.n AS STRING) AS requested_qty
+       FROM who w JOIN (SELECT result_id, count(*) AS n, string_agg('- ' || concat_ws(' | ', description, 'matched: ' || matched, 'qty: ' || printf('%.0f', qty), price), chr(10) ORDER BY n) AS summary FROM line_rows GROUP BY result_id) l ON l.result_id = w.result_id""",
+    "service_results",
+)
+def enquiries(s):
+    """Answers as payloads, and payloads as the intake reads them: checks, names, summaries."""
+    file = F.when(F.col("result_id") % 8 != 0, F.lit('{"name":"list.xlsx","file":"QUJD"}')).otherwise(F.lit("{}"))
+    sent = s.select("result_id", ip.payload(ip.parsed(F.col("result")), F.try_parse_json("contact"), F.try_parse_json(file)).alias("sent"))
+    read = ip.composed(sent.withColumn("body", ip.parsed(F.col("sent"))).withColumn("received", F.lit("2024-01-30 10:00:00").cast("timestamp")))
+    count = F.format_string("%.0f", F.col("requested_qty").cast("double"))
+    return read.select("result_id", F.array_join(F.json_object_keys("sent"), ",").alias("keys"), "error_text", "display_name", "line_summary", count.alias("requested_qty"))
+
+
+@query(
+    "j14_x26_unmatched_lines",
+    f"""WITH {_SERVICE} SELECT result_id, 'W-IQ-20240130-100000-' || CAST(row_number() OVER (PARTITION BY result_id ORDER BY n) AS STRING) AS wanted_id, description AS raw, target, 'buyer ' || CAST(result_id % 10 AS STRING) AS client FROM line_rows WHERE matched IS NULL""",
+    "service_results",
+)
+def unmatched_lines(s):
+    """What nothing could be sold for, one row each, with the enquiry's client attached."""
+    sent = s.select("result_id", ip.payload(ip.parsed(F.col("result")), F.try_parse_json("contact"), F.try_parse_json(F.lit("{}"))).alias("sent"))
+    read = sent.select("result_id", ip.parsed(F.col("sent")).alias("body"), F.lit("IQ-20240130-100000").alias("enquiry_id"), F.concat(F.lit("buyer "), F.col("result_id") % 10).alias("client"))
+    return ip.unmatched(read).select("result_id", "wanted_id", "raw", "target", "client")

@@ -131,6 +131,17 @@ VIEWS: dict[str, str] = {
                CASE event_id % 5 WHEN 0 THEN '2024-02-31' WHEN 1 THEN 'soon' ELSE '2024-01-1' || CAST(event_id % 10 AS STRING) END AS offered,
                CASE event_id % 6 WHEN 0 THEN '"k": ' WHEN 1 THEN NULL ELSE props END AS props, event_type
         FROM {events}""",
+    # What a pricing service answers, and what is posted to the intake: JSON, wrapped or bare.
+    "service_results": """
+        SELECT p_partkey AS result_id, CASE WHEN p_partkey % 3 = 0 THEN '{{"fields":' ELSE '' END || '{{"results":['
+            || '{{"description":"' || p_name || '","sourceRow":' || CAST(p_partkey AS STRING) || ',"quantity":' || CASE p_partkey % 4 WHEN 0 THEN 'null,"unitsOrdered":"12"' WHEN 1 THEN '"many"' ELSE CAST(p_size AS STRING) END || ',"quantityBasis":"' || CASE WHEN p_partkey % 2 = 0 THEN 'Cases' ELSE ' ' END || '"'
+            || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ',"match":null' WHEN 2 THEN ',"match":{{}},"needsReview":true' ELSE ',"match":{{"brand":"' || p_brand || '","productName":"' || p_type || '","volumeMl":' || CAST(p_size * 10 AS STRING) || '}},"needsReview":false' END
+            || ',"wholesalePrice":' || CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) ELSE CAST(p_size AS STRING) || '.5' END || ',"wholesaleCurrency":"EUR","wholesaleBasis":"' || CASE WHEN p_partkey % 4 = 3 THEN 'Per btl' ELSE '' END || '"'
+            || CASE WHEN p_partkey % 7 = 0 THEN ',"customerPriceBase":"22.25"' ELSE '' END || '}}'
+            || CASE WHEN p_partkey % 2 = 0 THEN ',{{"description":" ","note":"second"}}' ELSE '' END
+            || '],"summary":{{"totalRows":' || CAST(1 + (p_partkey + 1) % 2 AS STRING) || ',"currency":"' || CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'EUR' END || '"}}}}' || CASE WHEN p_partkey % 3 = 0 THEN '}}' ELSE '' END AS result,
+            '{{"email":"' || CASE p_partkey % 5 WHEN 0 THEN 'Ann@Buy.example' WHEN 1 THEN 'no address' ELSE '' END || '","company":"' || CASE WHEN p_partkey % 3 = 1 THEN p_brand || ' Ltd' ELSE '' END || '","name":"' || CASE WHEN p_partkey % 4 = 1 THEN 'Ann' ELSE '' END || '"}}' AS contact
+        FROM {part}""",
     # Parser results: one row for each order line.
     "parse_rows": """
         SELECT l_suppkey AS supplier, CASE WHEN l_returnflag = 'R' THEN 'Unrecognised' WHEN l_linestatus = 'O' THEN 'Partial' ELSE 'Clean' END AS status,
