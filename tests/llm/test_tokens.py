@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,22 +78,52 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=120))
-def test_sweep_is_best_fit_decreasing(lengths):
+def sequential(lengths: list[int], sequence: int) -> int:
+    """Sequences that best fit needs, longest piece first, one piece after the other."""
     gaps: list[int] = []
     for n in sorted(lengths, reverse=True):
         fits = [g for g in gaps if g >= n]
         if fits:
             gaps.remove(min(fits))
-            gaps.append(min(fits) - n)
-        else:
-            gaps.append(64 - n)
-    used, filled = set(), Counter()
-    for length, first, until, sequence, each, base in packing.sweep(dict(Counter(lengths)), 64):
-        for r in range(until - first):
-            used.add(sequence + r // each)
-            filled[sequence + r // each] += length
-            assert base + r % each * length + length <= 64
-    assert len(used) == len(gaps)
-    assert sorted(64 - filled[s] for s in used) == sorted(gaps)
+        gaps.append((min(fits) if fits else sequence) - n)
+    return len(gaps)
+
+
+KINDS = {
+    "uniform": lambda r: r.randint(1, 64),
+    "short": lambda r: min(64, 1 + int(r.expovariate(1 / 9))),
+    "tiny": lambda r: r.choice([1, 2, 3]),
+    "awkward": lambda r: r.choice([64, 33, 33, 22, 21, 1]),
+    "full": lambda r: 64,
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_packing_is_as_good_as_sequential_best_fit(spark, kind):
+    """Whole and gapless, and within one of the bound or of one piece after the other."""
+    r = random.Random(kind)
+    lengths = [KINDS[kind](r) for _ in range(500)]
+    pieces = spark.createDataFrame([(k, n, "x") for k, n in enumerate(lengths)], "doc_id long, length long, first string").repartition(3)
+    got = packing.pack(pieces, 64).collect()
+    assert Counter((p["doc_id"], p["length"], p["first"]) for p in got) == Counter((k, n, "x") for k, n in enumerate(lengths))
+    places = defaultdict(list)
+    for p in got:
+        places[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in places.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 64
+    assert len(places) <= max(sequential(lengths, 64), -(-sum(lengths) // 64) + 1)
+
+
+def test_superstep_takes_the_successor(spark):
+    """Two gaps and three items of a kind: each item has the smallest gap that holds it."""
+    rows = [("gap", 10, 100, 2, 0, 0), ("gap", 7, 200, 3, 0, 0), ("item", 6, 0, 4, 0, 0), ("item", 9, 0, 3, 0, 0)]
+    out = packing.superstep(spark.createDataFrame(rows, packing._STATE), 0, 0, 16).collect()
+    plans = {(s["size"], s["first"] + k, s["sequence"] + k, s["base"]) for s in out if s["kind"] == "plan" for k in range(s["n"])}
+    assert {p[2:] for p in plans if p[0] == 9} == {(100, 6), (101, 6)} and {p[2:] for p in plans if p[0] == 6} == {(200, 9), (201, 9), (202, 9)}
+    assert sorted(p[:2] for p in plans) == [(6, 0), (6, 1), (6, 2), (9, 0), (9, 1)]
+    assert sorted((s["size"], s["first"], s["n"]) for s in out if s["kind"] == "item") == [(6, 3, 1), (9, 2, 1)]
+    assert sum(s["n"] for s in out if s["kind"] == "gap") == 5

@@ -1,19 +1,16 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Bulk-synchronous best fit. Pieces are range-sorted by length, which gives each its rank
-among the pieces of its length without gathering a length in one task. Lengths and gaps
-are whole numbers up to the sequence length, so equal ones are interchangeable: a sweep
-matches classes (length, count) to the smallest gap class that is large enough, its
-successor; the conflict of many pieces over one gap class is settled by rank, gaps are
-updated, and the next length sweeps again. The driver sweeps, over the counts of at most
-`sequence` lengths. What a sweep decides are rank intervals, at most a few for each pair of
-classes whatever the input's size; each piece then finds its interval by a join on length
-and rank.
+among the pieces of its length without gathering a length in one task. Pieces by length and
+gaps by size, each with a count, are tables; in a superstep both are sorted, items are
+matched to their successor gaps by a sweep that is spread over the levels of a stack, ranks
+settle who gets which gap, gaps are updated, and the tables are written for the next step,
+until no piece is left. What steps decide are rank intervals; each piece then finds its own
+by a join on length and rank.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import zlib
 from collections.abc import Iterator
@@ -21,9 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from tradewind.llm.bpe import PieceEncoder
@@ -36,7 +32,8 @@ END_ID = 2
 _MARK = b"<|endoftext|>"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLAN = StructType([StructField(c, LongType()) for c in ("plan_length", "first", "until", "sequence", "each", "base")])
+#: Items shorter than the longest divided by this wait for a later step; slots of a gap in one step.
+HOLD, SLOTS = 2, 64
 
 
 @functools.cache
@@ -86,47 +83,110 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence
     return plain.mapInArrow(run, _PIECES + ", ids array<int>" * keep_ids)
 
 
-def sweep(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit by classes, longest first: rank intervals (length, first rank, rank after
-    the last, first sequence, pieces in each sequence, offset of the first piece there).
+_STATE = "kind string, size long, first long, n long, sequence long, base long"
 
-    Piece r of an interval goes to sequence + (r - first) // each, at offset
-    base + (r - first) % each * length.
+
+def superstep(state: DataFrame, opened: int, first: int, sequence: int = SEQUENCE) -> DataFrame:
+    """One bulk-synchronous step: every slot of a gap may take one item, every item at most one slot.
+
+    state: items (n pieces of `size` tokens, from rank `first` among those) and gaps (n
+    sequences from `first` with `size` free places); `opened` empty sequences from number
+    `first` join the gaps. A gap has as many slots of equal width as it is times as wide as
+    the largest item, one at least and SLOTS at most. Slots and items are sorted by size, largest first,
+    slots before items of their size. Swept in that order, an item takes the smallest slot
+    still free that is wide enough: its successor. Who gets which is a matter of ranks: a
+    row of slots lies on the levels of a stack, an item takes the top levels, and on each
+    level an item's partner is the row before it. Levels are swept apart, so the sweep is
+    spread over them.
+
+    Returns the next state: items that got no slot, gaps as they are now, and `plan` rows: n
+    pieces of `size` tokens from rank `first`, one in each of the sequences from `sequence`,
+    at offset `base`.
+    """
+    spark = state.sparkSession
+    long = lambda v: F.lit(v).cast("long")
+    columns = ["kind", "size", "first", "n"]
+    rows = state.where("kind <> 'plan'").select(*columns)
+    if opened:
+        rows = rows.unionByName(spark.range(1).select(*(c.alias(k) for k, c in zip(columns, (F.lit("gap"), long(sequence), long(first), long(opened))))))
+    gap = F.col("kind") == "gap"
+    every = Window.partitionBy(F.lit(0))  # some rows for each pair of lengths, whatever the input
+    largest = F.max(F.when(~gap, F.col("size"))).over(every)
+    slots = F.when(gap, F.least(F.greatest(F.floor(F.col("size") / largest), long(1)), long(SLOTS))).otherwise(1)
+    rows = rows.withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(long(0), F.col("slots") - 1)))
+    rows = rows.withColumn("room", F.col("size")).withColumn("size", F.floor(F.col("size") / F.col("slots")))
+    order = Window.orderBy(F.desc("size"), F.when(gap, 0).otherwise(1), "first", "slot")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The stack's height never falls below zero: items that find it empty take nothing.
+    rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("x", F.sum(F.when(gap, F.col("n")).otherwise(-F.col("n"))).over(so_far))
+    rows = rows.withColumn("h", F.col("x") - F.least(long(0), F.min("x").over(so_far)))
+    rows = rows.withColumn("before", F.coalesce(F.lag("h").over(order), long(0)))
+    rows = rows.withColumn("cuts", F.array_sort(F.array_union(F.array(long(0)), F.collect_set("h").over(every))))
+    cells = rows.select(F.struct("kind", "pos", "size", "room", "slot", "first", "before", "h").alias("r"), F.explode(_between("cuts", F.least("h", "before"), F.greatest("h", "before"))).alias("c"))
+    upwards = Window.partitionBy("c.low").orderBy("r.pos")
+    met = cells.select("r", "c", F.lead("r").over(upwards).alias("i")).where("r.kind = 'gap'")
+    # Levels of a pair, and those that a slot keeps, lie side by side: one row for each.
+    pairs = met.groupBy("r", "i").agg(F.min("c.low").alias("low"), F.max("c.high").alias("high"))
+    begin = F.col("r.first") + F.col("low") - F.col("r.before")
+    pairs = pairs.select("r", "i", "low", begin.alias("a"), (begin + F.col("high") - F.col("low")).alias("b"))
+    # The slots of a run of sequences are laid over each other: what stands in one sequence adds up.
+    run = Window.partitionBy("r.first")
+    pairs = pairs.withColumn("cuts", F.array_sort(F.array_union(F.collect_set("a").over(run), F.collect_set("b").over(run))))
+    parts = pairs.select("r", "i", "low", "a", F.explode(_between("cuts", F.col("a"), F.col("b"))).alias("c"))
+    inside = Window.partitionBy("r.first", "c.low").orderBy("r.slot")
+    size = F.coalesce("i.size", long(0))
+    parts = parts.withColumn("under", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), long(0)))
+    parts = parts.withColumn("filled", F.sum(size).over(Window.partitionBy("r.first", "c.low")))
+
+    def row(**fields: Column) -> Column:
+        given = {"kind": F.lit("gap"), "size": long(0), "first": F.col("c.low"), "n": F.col("c.high") - F.col("c.low"), "sequence": long(0), "base": long(0)}
+        return F.struct(*(c.alias(k) for k, c in (given | fields).items()))
+
+    rank = F.col("i.first") + F.col("low") - F.col("i.h") + F.col("c.low") - F.col("a")
+    placed = row(kind=F.lit("plan"), size=F.col("i.size"), first=rank, sequence=F.col("c.low"), base=sequence - F.col("r.room") + F.col("under"))
+    rest = row(size=F.col("r.room") - F.col("filled"))
+    made = F.array_compact(F.array(F.when(F.col("i").isNotNull(), placed), F.when(F.col("r.slot") == 0, rest)))
+    after = parts.select(F.explode(made).alias("s")).select("s.*").where("size > 0")
+    left = F.col("n") - (F.col("before") - F.col("h"))
+    items = rows.where(~gap).withColumn("left", left).where("left > 0")
+    kept = F.col("first") + F.col("n") - F.col("left")
+    return after.unionByName(items.select("kind", "size", kept.alias("first"), F.col("left").alias("n"), long(0).alias("sequence"), long(0).alias("base")))
+
+
+def _between(cuts: str, low: Column, high: Column) -> Column:
+    """The stretches (low, high) that sorted cuts part an interval into; both ends are cuts."""
+    at, many = F.array_position(cuts, low).cast("int"), (F.array_position(cuts, high) - F.array_position(cuts, low)).cast("int")
+    return F.when(high > low, F.arrays_zip(F.slice(cuts, at, many).alias("low"), F.slice(cuts, at + 1, many).alias("high")))
+
+
+def best_fit(lengths: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+    """Where the pieces of each length go: lengths (length, n) as `plan` rows of `superstep`.
+
+    Supersteps until no piece is left. Sequences are opened as soon as the pieces' tokens
+    exceed the free places, and for pieces that are longer than every gap: one for each
+    above half a sequence, and no fewer than their tokens need. Short pieces wait for the
+    long ones, which leave them gaps. The tables of a step have some rows for each pair of
+    lengths, whatever the number of pieces; each step's are written and read again.
     """
-    gaps: list[int] = []  # gap sizes that some sequence has, ascending
-    open_at: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, number)
-    plan, sequences = [], 0
-
-    def add(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in open_at:
-                bisect.insort(gaps, gap)
-                open_at[gap] = []
-            open_at[gap].append((first, number))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(gaps, length)
-            if k == len(gaps):
-                each = sequence // length
-                gap, first, number = sequence, sequences, -(-left // each)
-                sequences += number
-            else:
-                gap = gaps[k]
-                each = gap // length
-                first, number = open_at[gap].pop()
-                if not open_at[gap]:
-                    del open_at[gap], gaps[k]
-            used = min(number, -(-left // each))
-            taken = min(left, used * each)
-            plan.append((length, rank, rank + taken, first, each, sequence - gap))
-            rest = taken % each  # the last sequence may get fewer
-            add(gap - each * length, first, used - bool(rest))
-            add(gap - rest * length, first + used - 1, int(rest > 0))
-            add(gap, first + used, number - used)
-            rank, left = rank + taken, left - taken
-    return plan
+    spark = lengths.sparkSession
+    none = F.lit(0).cast("long")
+    state = staged(lengths.select(F.lit("item").alias("kind"), F.col("length").alias("size"), none.alias("first"), "n", none.alias("sequence"), none.alias("base")), "packing")
+    plans, sequences = [], 0
+    size, n, item, gap = F.col("size"), F.col("n"), F.col("kind") == "item", F.col("kind") == "gap"
+    while True:
+        least, longest, widest = state.agg(F.min(F.when(item, size)), F.max(F.when(item, size)), F.coalesce(F.max(F.when(gap, size)), F.lit(0))).first()
+        if least is None:
+            break
+        usable = state.where(item | (gap & (size >= least)))
+        stuck = item & (size > widest)
+        sums = [F.sum(F.when(c, v)) for c, v in ((item, size * n), (gap, size * n), (stuck & (size * 2 > sequence), n), (stuck, size * n))]
+        tokens, free, large, lost = (x or 0 for x in usable.agg(*sums).first())
+        opened = max(large, -(-lost // sequence), -(-(tokens - free) // sequence), 0)
+        waits = item & (size * HOLD < longest)
+        state = staged(superstep(usable.where(~waits), opened, sequences, sequence).unionByName(usable.where(waits)), "packing")
+        sequences += opened
+        plans.append(state.where("kind = 'plan'"))
+    return functools.reduce(DataFrame.unionByName, plans, state.where("false"))
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
@@ -142,25 +202,17 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     ranged = pieces.repartitionByRange(parts, *order).sortWithinPartitions("length").withColumn("_place", F.monotonically_increasing_id())
     ranged = staged(ranged, "ranged")
     part = F.shiftright("_place", 33).alias("_part")
-    held = ranged.groupBy("length", part).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # The range sort leaves at most (partitions + lengths) of these rows.
-    held = held.orderBy("length", "_part").collect()
-    counts: dict[int, int] = {}
-    starts = []
-    for length, at, first, n in held:
-        starts.append((length, at, first - counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    starts = spark.createDataFrame(starts, StructType([StructField(c, LongType()) for c in ("_length", "_part", "_zero")]))
-    plan = spark.createDataFrame(sweep(counts, sequence), _PLAN)
-    ranked = ranged.join(F.broadcast(starts), (F.col("length") == F.col("_length")) & (F.shiftright("_place", 33) == F.col("_part")))
+    # A length's pieces lie side by side: at most (partitions + lengths) of these rows.
+    held = staged(ranged.groupBy("length", part).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")), "held")
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(F.col("length").alias("_length"), "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_zero"))
+    plan = best_fit(held.groupBy("length").agg(F.sum("_n").alias("n")), sequence)
+    plan = plan.select(F.col("size").alias("_size"), F.col("first").alias("_from"), (F.col("first") + F.col("n")).alias("_until"), F.col("sequence").alias("_sequence"), F.col("base").alias("_base"))
+    ranked = ranged.join(starts, (F.col("length") == F.col("_length")) & (F.shiftright("_place", 33) == F.col("_part")))
     ranked = ranked.withColumn("_rank", F.col("_place") - F.col("_zero"))
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("until")))
-    rank = F.col("_rank") - F.col("first")
-    return placed.select(
-        *pieces.columns,
-        (F.col("sequence") + F.floor(rank / F.col("each")).cast("long")).alias("sequence_id"),
-        (F.col("base") + F.pmod(rank, F.col("each")) * F.col("length")).alias("offset"),
-    )
+    # Both sides by length: a common length's pieces are many for a few intervals each.
+    placed = ranked.join(plan, (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_until")))
+    return placed.select(*pieces.columns, (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_base").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
