@@ -25,8 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = staged(decided.where("NOT _kept OR _n > 1"), "marks").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "_kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("id"), text_digest().alias("digest"))
     match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    once = rows.join(marks.where("_kept"), match).dropDuplicates(["id", "digest"])
-    return rows.join(marks, match, "left_anti").select("row.*").unionByName(once.select("row.*"))
+    stay = rows.join(marks, match, "left_anti").select("row.*")
+    again = marks.where("_kept")
+    if again.isEmpty():  # no id and text stand twice: no second pass over the documents
+        return stay
+    return stay.unionByName(rows.join(again, match).dropDuplicates(["id", "digest"]).select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
