@@ -99,19 +99,22 @@ def superstep(state: DataFrame, opened: int, first: int, sequence: int = SEQUENC
     level an item's partner is the row before it. Levels are swept apart, so the sweep is
     spread over them.
 
+    Items shorter than the largest divided by HOLD wait, and gaps that no item fits are dropped.
     Returns the next state: items that got no slot, gaps as they are now, and `plan` rows: n
     pieces of `size` tokens from rank `first`, one in each of the sequences from `sequence`,
     at offset `base`.
     """
     spark = state.sparkSession
     long = lambda v: F.lit(v).cast("long")
-    columns = ["kind", "size", "first", "n"]
-    rows = state.where("kind <> 'plan'").select(*columns)
-    if opened:
-        rows = rows.unionByName(spark.range(1).select(*(c.alias(k) for k, c in zip(columns, (F.lit("gap"), long(sequence), long(first), long(opened))))))
-    gap = F.col("kind") == "gap"
+    # What differs from step to step comes as rows, so that all steps run the same compiled code.
+    opened_rows = spark.createDataFrame([("gap", sequence, first, opened, 0, 0)] if opened else [], _STATE)
     every = Window.partitionBy(F.lit(0))  # some rows for each pair of lengths, whatever the input
+    gap = F.col("kind") == "gap"
     largest = F.max(F.when(~gap, F.col("size"))).over(every)
+    rows = state.where("kind <> 'plan'").unionByName(opened_rows).withColumn("takes_part", gap | (F.col("size") * HOLD >= largest))
+    rows = rows.withColumn("least", F.min(F.when(~gap, F.col("size"))).over(every)).where(~gap | (F.col("size") >= F.col("least")))
+    waiting = rows.where("NOT takes_part").select(*state.columns)
+    rows = rows.where("takes_part").select("kind", "size", "first", "n")
     slots = F.when(gap, F.least(F.greatest(F.floor(F.col("size") / largest), long(1)), long(SLOTS))).otherwise(1)
     rows = rows.withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(long(0), F.col("slots") - 1)))
     rows = rows.withColumn("room", F.col("size")).withColumn("size", F.floor(F.col("size") / F.col("slots")))
@@ -150,7 +153,8 @@ def superstep(state: DataFrame, opened: int, first: int, sequence: int = SEQUENC
     left = F.col("n") - (F.col("before") - F.col("h"))
     items = rows.where(~gap).withColumn("left", left).where("left > 0")
     kept = F.col("first") + F.col("n") - F.col("left")
-    return after.unionByName(items.select("kind", "size", kept.alias("first"), F.col("left").alias("n"), long(0).alias("sequence"), long(0).alias("base")))
+    items = items.select("kind", "size", kept.alias("first"), F.col("left").alias("n"), long(0).alias("sequence"), long(0).alias("base"))
+    return after.unionByName(items).unionByName(waiting)
 
 
 def _between(cuts: str, low: Column, high: Column) -> Column:
@@ -173,17 +177,17 @@ def best_fit(lengths: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     state = staged(lengths.select(F.lit("item").alias("kind"), F.col("length").alias("size"), none.alias("first"), "n", none.alias("sequence"), none.alias("base")), "packing")
     plans, sequences = [], 0
     size, n, item, gap = F.col("size"), F.col("n"), F.col("kind") == "item", F.col("kind") == "gap"
+    every = Window.partitionBy(F.lit(0))
     while True:
-        least, longest, widest = state.agg(F.min(F.when(item, size)), F.max(F.when(item, size)), F.coalesce(F.max(F.when(gap, size)), F.lit(0))).first()
-        if least is None:
+        seen = state.where("kind <> 'plan'").withColumn("widest", F.coalesce(F.max(F.when(gap, size)).over(every), F.lit(0))).withColumn("least", F.min(F.when(item, size)).over(every))
+        stuck = item & (size > F.col("widest"))
+        usable = gap & (size >= F.col("least"))
+        sums = [F.sum(F.when(c, v)) for c, v in ((item, size * n), (usable, size * n), (stuck & (size * 2 > sequence), n), (stuck, size * n))]
+        tokens, free, large, lost = (x or 0 for x in seen.agg(*sums).first())
+        if not tokens:
             break
-        usable = state.where(item | (gap & (size >= least)))
-        stuck = item & (size > widest)
-        sums = [F.sum(F.when(c, v)) for c, v in ((item, size * n), (gap, size * n), (stuck & (size * 2 > sequence), n), (stuck, size * n))]
-        tokens, free, large, lost = (x or 0 for x in usable.agg(*sums).first())
         opened = max(large, -(-lost // sequence), -(-(tokens - free) // sequence), 0)
-        waits = item & (size * HOLD < longest)
-        state = staged(superstep(usable.where(~waits), opened, sequences, sequence).unionByName(usable.where(waits)), "packing")
+        state = staged(superstep(state, opened, sequences, sequence), "packing")
         sequences += opened
         plans.append(state.where("kind = 'plan'"))
     return functools.reduce(DataFrame.unionByName, plans, state.where("false"))
