@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators import positions, public_view, publication, slugs
 from tradewind.operators.public_view import Field
+from tradewind.plans.catalogue import canonical_representative
 from tradewind.plans.registry import query
 
 _LISTED = "CASE WHEN b.stock_display IS NOT NULL AND coalesce(b.price_display, '') <> '' AND b.supplier_cost < 1500 THEN 'Yes' ELSE 'No' END"
@@ -157,3 +158,14 @@ def published_state(part):
     previous = files.select(F.col("p_type").alias("scope"), F.explode(publication.from_snapshot(F.col("json"))).alias("key", "value"), F.lit(1).alias("version"))
     reads = part.where("p_type <> 'SMALL'").groupBy(F.col("p_type").alias("scope")).agg(F.lit(2).alias("version")).withColumn("ok", ~F.col("scope").isin("LARGE", "ECONOMY"))
     return publication.next_state(previous, publication.published(rows), reads)
+
+
+@query(
+    "p19_self_canonical_archive",
+    """SELECT ord FROM (SELECT ord, delisted, first_value(ord) OVER (PARTITION BY name, spec ORDER BY delisted, CASE stock WHEN 'in' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, coalesce(qty, 0) DESC, amount ASC NULLS LAST, ord) AS canonical FROM offers)
+       WHERE delisted AND canonical = ord""",
+    "offers",
+)
+def self_canonical_archive(o):
+    """Sold-out pages that stay in the site map: those that no live twin stands for."""
+    return canonical_representative(o).join(o.where("delisted").select("ord"), "ord").where("canonical = ord").select("ord")
