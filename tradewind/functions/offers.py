@@ -102,6 +102,19 @@ def volume_label(ml: Column) -> Column:
     return F.when(ml.isNull() | (ml <= 0), F.lit("")).when((ml >= 1000) & (ml % 100 == 0), litres).otherwise(F.concat(half_up(ml).cast("string"), F.lit("ml")))
 
 
+def volume_text(ml: Column) -> Column:
+    """1.75L, 70cl or 333ml: litres from one on, centilitres where they come out even."""
+    litres = F.concat(trimmed_number(ml / 1000), F.lit("L"))
+    small = F.when(ml % 10 == 0, F.concat((ml / 10).cast("long").cast("string"), F.lit("cl"))).otherwise(F.concat(ml.cast("string"), F.lit("ml")))
+    return F.when(ml.isNull() | (ml <= 0), F.lit("")).when(ml >= 1000, litres).otherwise(small)
+
+
+def price_unit(basis: Column) -> Column:
+    """Whether a price is by the case or by the unit, null where its basis does not say."""
+    text = F.lower(F.coalesce(basis, F.lit("")))
+    return F.when(text.rlike("case|pack"), "case").when(text.rlike("unit|bottle|btl|can|piece|jar"), "unit")
+
+
 def basis_noun(basis: Column) -> Column:
     text = F.lower(F.coalesce(basis, F.lit("")))
     return (
@@ -291,3 +304,39 @@ def enquiry_url(origin: str, name: Column, spec: Column, amount: Column, currenc
     for code, mark in (("%27", "'"), ("%28", "("), ("%29", ")"), ("%21", "!"), ("%7E", "~")):  # marks that stay in a link
         coded = F.replace(coded, F.lit(code), F.lit(mark))
     return F.concat(F.lit(f"{origin}?text="), coded)
+
+
+def description(parts: list[Column], longest: int = 300) -> Column:
+    """What a search result says of a page: the parts that are there, cut to length."""
+    return F.left(F.array_join(F.array_compact(F.array(*(blank(p) for p in parts))), " · "), F.lit(longest))
+
+
+def publicly_listed(status: Column, expired: Column, approval: Column, price_ok: Column, listing_ok: Column) -> Column:
+    """Yes for a row that is out, not expired, approved and passed both checks; unknowns are No."""
+    yes = status.isin("Live", "Broadcasted", "Sent") & ~F.coalesce(expired, F.lit(False)) & (approval == "Approved") & price_ok & listing_ok
+    return F.when(yes, "Yes").otherwise("No")
+
+
+def product_data(origin: str, valid_until: Column) -> Column:
+    """A page's product as JSON-LD, from columns name, slug, spec, tier, price_detail, brand,
+    category, amount, currency, price_basis, stock, qty, terms, origin and delisted. What a row
+    does not say is left out; a sold-out price holds for no time."""
+    said = lambda c: blank(F.trim(F.coalesce(c, F.lit(""))))
+    kind = lambda name: F.lit(name).alias("@type")
+    gone = F.col("delisted")
+    stock = F.when(gone, "SoldOut").when(F.col("stock") == "in", "InStock").when(F.col("stock") == "warn", "LimitedAvailability")
+    unit = price_unit(F.col("price_basis"))
+    offer = F.struct(
+        kind("Offer"), F.format_string("%.2f", "amount").alias("price"), F.col("currency").alias("priceCurrency"), F.concat(F.lit("https://schema.org/"), stock).alias("availability"),
+        F.lit("https://schema.org/NewCondition").alias("itemCondition"), F.lit("http://purl.org/goodrelations/v1#Sell").alias("businessFunction"), F.lit("http://purl.org/goodrelations/v1#Business").alias("eligibleCustomerType"),
+        F.when(unit.isNotNull(), F.struct(kind("QuantitativeValue"), unit.alias("unitText"), F.lit(1).alias("minValue"))).alias("eligibleQuantity"),
+        F.struct(F.lit(f"{origin}/#org").alias("@id")).alias("seller"), F.when(~gone, F.date_format(valid_until, "yyyy-MM-dd")).alias("priceValidUntil"),
+    )
+    more = {"Pack size": said(F.col("spec")), "Duty status": said(F.col("tier")), "Incoterm": said(F.col("terms")), "Stock": F.when((F.col("qty") > 0) & ~gone, F.concat(F.format_number("qty", 0), F.lit(" cases"))), "Origin": said(F.col("origin"))}
+    properties = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(kind("PropertyValue"), F.lit(k).alias("name"), v.alias("value"))) for k, v in more.items())))
+    told = F.concat(F.concat_ws(" ", "name", "spec"), F.lit(", "), F.coalesce(said(F.col("tier")), F.lit("wholesale")), F.lit(". "), F.coalesce("price_detail", F.lit("")))
+    return F.to_json(F.struct(
+        F.lit("https://schema.org").alias("@context"), kind("Product"), F.col("name"), F.concat(F.lit(f"{origin}/offers/"), F.col("slug"), F.lit("/")).alias("url"), F.trim(told).alias("description"),
+        F.when(said(F.col("brand")).isNotNull(), F.struct(kind("Brand"), F.col("brand").alias("name"))).alias("brand"), said(F.col("category")).alias("category"),
+        F.when((F.col("amount") != 0) & said(F.col("currency")).isNotNull(), offer).alias("offers"), F.when(F.size(properties) > 0, properties).alias("additionalProperty"),
+    ))

@@ -141,3 +141,24 @@ def unmatched(enquiries: DataFrame, body: str = "body") -> DataFrame:
     raw = F.coalesce(_filled(F.col("_line"), "description"), _filled(F.col("_line"), "name"), F.lit("(unnamed line)"))
     identity = F.concat(F.regexp_replace("enquiry_id", "^IQ-", "W-IQ-"), F.lit("-"), (F.col("_n") + 1).cast("string"))
     return each.select("*", identity.alias("wanted_id"), (F.col("_n") + 1).alias("n"), raw.alias("raw"), _number(F.col("_line"), "target", "targetPrice", "cost").alias("target")).drop("_n", "_line")
+
+
+def quoted(result: Column) -> Column:
+    """array<struct<review, matched, saving>> of a result's rows: what a quote's views ask."""
+    rows = F.coalesce(F.try_variant_get(result, "$.results", "array<variant>"), F.array().cast("array<variant>"))
+
+    def said(row: Column) -> Column:
+        review = F.coalesce(F.try_variant_get(row, "$.needsReview", "boolean"), F.lit(False))
+        matched = F.coalesce(F.schema_of_variant(F.try_variant_get(row, "$.match", "variant")).startswith("OBJECT"), F.lit(False))
+        saving = F.coalesce(_number(row, "lineSaving"), _number(row, "customerPriceBase") - _number(row, "wholesalePrice"))
+        return F.struct(review.alias("review"), matched.alias("matched"), saving.alias("saving"))
+
+    return F.transform(rows, said)
+
+
+def views(lines: DataFrame) -> DataFrame:
+    """lines (with a struct `q` of `quoted`) once for each view that they are in: all, review,
+    saving and unmatched; `q` becomes saving."""
+    named = {"all": F.lit(True), "review": F.col("q.review"), "saving": F.col("q.saving") > 0, "unmatched": ~F.col("q.matched")}
+    inside = F.array_compact(F.array(*(F.when(test, name) for name, test in named.items())))
+    return lines.select(F.explode(inside).alias("view"), *[c for c in lines.columns if c != "q"], F.col("q.saving").alias("saving"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions import brands
-from tradewind.functions.js import numbered
+from tradewind.operators.positions import positioned
 from tradewind.plans.registry import query
 
 #: Fields that two sources are compared on, entries of a ledger, and the archive's limit.
@@ -63,9 +63,12 @@ def ledger(prev: DataFrame, new: DataFrame) -> DataFrame:
     return updated_ledger(_old(prev), prev, new, "2024-01-02")
 
 
+REDIRECTS = f"WITH led AS ({_LEDGER}) SELECT '/offers/' || slug || '/' AS source, CASE WHEN b.k IS NOT NULL THEN '/brands/' || b.k || '-wholesale/' ELSE '/category/' || lower(led.category) || '/' END AS target FROM led LEFT JOIN (SELECT replace(lower(brand), '#', '') AS k FROM offers_next WHERE brand <> '' GROUP BY 1 HAVING count(*) >= 2) b ON replace(lower(led.brand), '#', '') = b.k WHERE b.k IS NOT NULL OR led.category IN (SELECT category FROM offers_next)"
+
+
 @query(
     "d8_j5_u5_redirects",
-    f"WITH led AS ({_LEDGER}) SELECT '/offers/' || slug || '/' AS source, CASE WHEN b.k IS NOT NULL THEN '/brands/' || b.k || '-wholesale/' ELSE '/category/' || lower(led.category) || '/' END AS target FROM led LEFT JOIN (SELECT replace(lower(brand), '#', '') AS k FROM offers_next WHERE brand <> '' GROUP BY 1 HAVING count(*) >= 2) b ON replace(lower(led.brand), '#', '') = b.k WHERE b.k IS NOT NULL OR led.category IN (SELECT category FROM offers_next)",
+    REDIRECTS,
     "offers_prev",
     "offers_next",
 )
@@ -118,10 +121,10 @@ def leak_scan(o: DataFrame) -> DataFrame:
     return o.where(text.rlike("(?i)(small ring|postgres://|api[_-]?key)")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s5_live_scan", "SELECT id, row_number() OVER (ORDER BY id) AS r FROM offers WHERE NOT delisted AND NOT (status_expired) QUALIFY r <= 100".replace(" AND NOT (status_expired)", ""), "offers")
+@query("s5_live_scan", "SELECT id, row_number() OVER (ORDER BY ord) AS r FROM offers WHERE NOT delisted", "offers")
 def live_scan(o: DataFrame) -> DataFrame:
-    """Live rows by id as bytes; the first page."""
-    return o.where("NOT delisted").orderBy("id").limit(100).select("id", numbered(Window.orderBy("id")).alias("r"))
+    """All live rows, with their place in catalogue order."""
+    return positioned(o.where("NOT delisted").select("id", "ord"), "ord", "r").select("id", "r")
 
 
 @query("s6_archive_scan", f"SELECT id FROM (SELECT * FROM offers WHERE delisted ORDER BY nullif(offer_date, '') DESC NULLS LAST, id LIMIT {ARCHIVE}) WHERE ord % 20 <> 9", "offers")

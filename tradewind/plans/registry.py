@@ -35,4 +35,4 @@ def query(name: str, sql: str | None = None, *views: str):
     return keep
 
 
-from tradewind.plans import catalogue, demand, extraction, intake, lifecycle, normalisation, publication, scalars, search  # noqa: E402, F401
+from tradewind.plans import catalogue, demand, extraction, intake, lifecycle, normalisation, publication, scalars, search, site  # noqa: E402, F401

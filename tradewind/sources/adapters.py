@@ -62,6 +62,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 8 = 0 THEN 'short date' END AS note, '2024-01-05' AS offer_date, CASE WHEN p_partkey % 2 = 0 THEN '2024-02-05' END AS expiry_date,
                p_retailprice AS supplier_cost
         FROM {part}""",
+    # The catalogue with letters and marks that slugs and XML must mind.
+    "site_offers": """
+        SELECT ord, CASE WHEN ord % 5 = 1 THEN replace(name, 'e', 'é') ELSE name END AS name, CASE WHEN ord % 4 = 1 THEN replace(brand, 'Brand', 'Bránd') ELSE brand END AS brand,
+               CASE category WHEN 'PROMO' THEN 'Promo & Gift' WHEN 'SMALL' THEN 'Spirits' WHEN 'LARGE' THEN 'Beer' ELSE category END AS category, spec, delisted, stock, qty, amount, currency, price_basis, tier,
+               warehouse, incoterm, volume_ml, CASE WHEN ord % 3 = 0 THEN '' ELSE currency || ' ' || CAST(ord AS STRING) END AS price_detail, CASE WHEN ord % 2 = 0 THEN 'France' END AS origin
+        FROM ({offers}) o""",
     # Two snapshots of the catalogue, as of yesterday and today.
     "offers_prev": "SELECT * FROM ({offers}) o WHERE ord % 10 <> 3",
     "offers_next": "SELECT id, ord, name, brand, category, spec, CASE WHEN ord % 20 = 1 THEN amount + 1 ELSE amount END AS amount, currency, stock, CASE WHEN ord % 15 = 2 THEN '' ELSE warehouse END AS warehouse FROM ({offers}) o WHERE ord % 10 <> 7",
