@@ -27,8 +27,8 @@ def anchors(text):
     tokens = [hashed(t) for t in TOKEN.findall(text)]
     pairs = [hashed(a, b) for a, b in zip(tokens, tokens[1:])]
     found = {}
-    for i in range(len(pairs) - 6):
-        inner = pairs[i : i + 7]
+    for i in range(len(pairs) - fingerprints.WINDOW + 2):
+        inner = pairs[i : i + fingerprints.WINDOW - 1]
         if min(inner) in (inner[0], inner[-1]):
             found.setdefault(hashed(*inner[::2]), i)
     every = sorted(found.items())
@@ -74,3 +74,12 @@ def test_insertion_in_a_text_without_spaces(spark):
 def test_one_document_is_its_own_next(spark):
     row = fingerprints.fingerprint_documents(spark.createDataFrame([(1, prose(1, 50))], "doc_id long, text string")).first()
     assert row["near_next"] == 1.0
+
+
+def test_a_short_text_is_like_itself_half_edited(spark):
+    """Every text of a line or two keeps anchors in the half that stays."""
+    rows = [(k, prose(k, 12 + k % 10)) for k in range(60)]
+    rows += [(100 + k, f"{prose(k, 6)} {k}. {prose(k + 7, 8)}") for k in range(20)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0 for r in got), [(r["n_chars"], r["near_edited"]) for r in got if not r["near_edited"]]
+    assert 0.25 < sum(r["near_edited"] for r in got) / len(got) < 0.75

@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Tokens are words, numbers and other single characters. A window of eight tokens is an
-anchor if the least of the hashes of its seven inner pairs is the first or the last: what
-the window itself holds decides, so an edit elsewhere moves no anchor. A fingerprint is
-all anchors whose hash is in the lowest eighth of its range, and at least the 32 lowest,
-each with its token place: it grows with the text. Two fingerprints match where hashes
+Tokens are words, numbers and other single characters. A window of four tokens is an
+anchor if the least of the hashes of its three inner pairs is the first or the last: what
+the window itself holds decides, so an edit elsewhere moves no anchor. Two windows of three
+are anchors, so a text of a line or two has several, and a sentence that stays shows. A
+fingerprint is all anchors whose hash is in the lowest sixteenth of its range, and at least
+the 32 lowest, each with its token place: it grows with the text. Two fingerprints match where hashes
 agree and places differ by one common shift.
 """
 
@@ -18,9 +19,9 @@ from tradewind.llm.common import staged
 
 #: Tokens of a window, least anchors of a fingerprint (all, if a text has fewer), and how far
 #: from the common shift the places of two equal anchors may lie.
-WINDOW, ANCHORS, SLACK = 8, 32, 16
-#: Anchors with a lower hash are all kept: an eighth of them.
-LOW = -(1 << 63) + (1 << 61)
+WINDOW, ANCHORS, SLACK = 4, 32, 16
+#: Anchors with a lower hash are all kept: a sixteenth of them.
+LOW = -(1 << 63) + (1 << 60)
 #: A word of an alphabetic script, a number, or one character. Where letters run on beyond
 #: any word, and in scripts without spaces, each character is a token: what it is decides
 #: where tokens begin, never a count from the start.
@@ -47,8 +48,8 @@ def fingerprint(text: Column) -> Column:
 
     def chosen(g: Column) -> Column:
         places = F.when(F.size(g) > last, F.sequence(F.lit(0), F.size(g) - last - 1)).otherwise(F.array().cast("array<int>"))
-        inner = lambda i: F.least(*[F.get(g, i + j) for j in range(1, last)])
-        starts = F.filter(places, lambda i: F.least(F.get(g, i), F.get(g, i + last)) <= inner(i))
+        edge = lambda i: F.least(F.get(g, i), F.get(g, i + last))
+        starts = F.filter(places, lambda i: edge(i) == F.least(*[F.get(g, i + j) for j in range(last + 1)]))
         return F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(g, i + j) for j in range(0, last + 1, 2)]).alias("hash"), i.alias("place")))
 
     def least(found: Column) -> Column:
