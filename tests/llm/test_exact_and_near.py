@@ -94,3 +94,15 @@ def test_words(texts):
     assert got == expected
     flat = [w.translate({65 + k: 97 + k for k in range(26)}) for k in sorted(expected) for w in expected[k]]
     assert len(set(flat)) == len(np.unique(hashes))
+
+
+def test_lookup_leaves_the_index_in_place(spark, docs):
+    """A batch's entries come by a join in which only the batch's groups shuffle."""
+    index = DigestIndex(spark, f"{shared_dir(spark)}/still-index", 4)
+    exact_dedup(docs, index)
+    groups = index.rows().select("digest").limit(5)
+    plan = index.lookup(groups)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan, plan
+    joined = plan[plan.index("SortMergeJoin"):]
+    assert joined.count("hashpartitioning(digest") <= 1, plan
+    assert index.lookup(groups).count() == 5

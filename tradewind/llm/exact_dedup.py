@@ -4,7 +4,8 @@ The index is a Parquet table bucketed and sorted by digest, with one row for eac
 distinct text ever seen. New rows are aggregated to distinct digests (map-side first, so
 a group of copies that holds a third of all rows shuffles as a few partial rows) and
 written; the groups are anti-joined to the index by a sort-merge join that does not move
-the index, and appended.
+the index, and appended. A batch then reads back its own groups' entries by such a join:
+however large the index is, only rows of the batch shuffle.
 """
 
 from __future__ import annotations
@@ -47,11 +48,10 @@ class DigestIndex:
         ready.select("digest", "keep_id", "group_size").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """digests with keep_id and group_size. Both sides shuffle, so that adaptive
-        execution can split a digest which holds much of the input."""
-        plain = self.spark.read.schema(self.rows().schema).parquet(self.path)
-        return digests.join(plain, "digest", "left")
+    def lookup(self, groups: DataFrame) -> DataFrame:
+        """(digest, keep_id, group_size) of those groups that the index has; groups hold each
+        digest once. The index is read in its buckets and order, groups are brought to them."""
+        return groups.select("digest").hint("merge").join(self.rows().hint("merge"), "digest")
 
 
 def text_digest(text: str = "text") -> F.Column:
@@ -76,8 +76,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # Written first: the anti-join would otherwise move below the aggregation, and all rows of
     # a digest would meet in one task.
-    index.append(staged(groups, "groups"))
-    return index.lookup(digests).select(
+    groups = staged(groups, "groups")
+    index.append(groups)
+    # Written too: rows join a plain table, so that adaptive execution can split a digest
+    # which holds much of the input. Buckets would fix the partitions of that join.
+    found = staged(index.lookup(groups), "found")
+    return digests.join(found, "digest", "left").select(
         "doc_id",
         "keep_id",
         "group_size",
