@@ -3,7 +3,8 @@
 A Lexicon names sets of words, which may overlap. Text is cut into tokens (numbers, words,
 single marks); each token gets one letter that stands for the sets it is in. A rule is
 written over the names of sets and runs as a pattern over those letters, so it sees words
-and not spelling, and every hit has its place in the text and its tokens.
+and not spelling, and every hit has its place in the text and its tokens. The letters of a
+text are one string, made once; most rules fail on it, and only hits cost more than that.
 """
 
 from __future__ import annotations
@@ -15,9 +16,17 @@ from tradewind.functions.sqltext import S, Sql, let
 
 #: Numbers with inner separators, words, line ends and single marks.
 _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+|\n|[^\s\p{L}0-9]"
+#: A token and the white space before it: together these are the text, up to its last token.
+_PIECE = rf"[^\S\n]*(?:{_TOKEN})"
+#: Words are looked up among those whose first character has the same remainder.
+_SHELVES = 61
 _LETTERS = [chr(k) for k in range(0x61, 0x7B)] + [chr(k) for k in range(0x41, 0x5B)] + [chr(k) for k in range(0xC0, 0x17F) if chr(k).isalpha()]
 
 
+#: The type of a hit.
+HIT = "struct<start:int,end:int,first:int,parts:array<struct<value:string,kind:string>>>"
+
+
 class Lexicon:
     """Named sets of lower-case tokens. `number`, `word` (a word in no set) and `any` are
     names that every lexicon has; a set may hold numbers too."""
@@ -31,19 +40,31 @@ class Lexicon:
         letter = dict(zip(groups, letters, strict=False))
         self.other, self.plain_word, self.plain_number = other, word, number
         self.letter_of = {w: letter[k] for w, k in sorted(kinds.items())}
+        self.shelves: list[dict[str, str]] = [{} for _ in range(_SHELVES)]
+        for w, x in self.letter_of.items():
+            self.shelves[ord(w[0]) % _SHELVES][w] = x
         self.classes = {name: "".join(letter[g] for g in groups if name in g) for name in sets}
         self.classes["number"] = number + "".join(sorted({x for w, x in self.letter_of.items() if w[0].isdigit()}))
         self.classes["word"] = word
 
     def tokens(self, text: Sql) -> Sql:
-        """array<struct<start, end, value, kind>>"""
-        known = table(self.letter_of)
+        """struct<text, values, kinds>: tokens, and their letters as one string; all null for
+        null text."""
+        shelves = S.array(*map(table, self.shelves))
+
+        def kind(value: Sql) -> Sql:
+            def read(w: Sql) -> Sql:
+                # By comparison where one character tells: a pattern for each token is dear.
+                shape = S.when((w >= "a") & (w < "{"), self.plain_word).when((w >= "0") & (w < ":"), self.plain_number)
+                shape = shape.when(w < "\u0080", self.other).when(w.rlike(r"^\p{L}"), self.plain_word).otherwise(self.other)
+                return S.coalesce(S.try_element_at(S.get(shelves, S.pmod(S.ascii(w), _SHELVES)), w), shape)
 
-        def kind(t: Sql) -> Sql:
-            shape = S.when(t["value"].rlike("^[0-9]"), self.plain_number).when(t["value"].rlike(r"^\p{L}"), self.plain_word).otherwise(self.other)
-            return S.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), S.coalesce(S.try_element_at(known, S.lower(t["value"])), shape).alias("kind"))
+            return let(S.lower(value), read)
 
-        return S.transform(found(text, _TOKEN), kind)
+        def read(t: Sql) -> Sql:
+            return let(S.regexp_extract_all(t, _TOKEN, 0), lambda v: S.struct(t.alias("text"), v.alias("values"), S.array_join(S.transform(v, kind), "").alias("kinds")))
+
+        return let(text, read)
 
     def rule(self, text: str) -> str:
         """A rule over names, as a pattern over letters. Operators are those of patterns."""
@@ -52,22 +73,34 @@ class Lexicon:
 
     def hits(self, tokens: Sql, rule: str) -> Sql:
         """array<struct<start, end, first, parts>> of a rule: place in the text, number of
-        the first token, and the tokens."""
+        the first token, and the tokens' values and kinds."""
         pattern = self.rule(rule)
 
-        def spans(t: Sql) -> Sql:
+        def placed(t: Sql, pieces: Sql) -> Sql:
+            def upto(n: Sql) -> Sql:
+                return S.length(S.array_join(S.slice(pieces, 1, n), ""))
+
             def one(s: Sql) -> Sql:
+                values = S.slice(t["values"], s["start"] + 1, s["end"] - s["start"])
                 return S.struct(
-                    S.get(t, s["start"])["start"].alias("start"),
-                    S.get(t, s["end"] - 1)["end"].alias("end"),
+                    (upto(s["start"] + 1) - S.length(S.get(t["values"], s["start"]))).alias("start"),
+                    upto(s["end"]).alias("end"),
                     s["start"].alias("first"),
-                    S.slice(t, s["start"] + 1, s["end"] - s["start"]).alias("parts"),
+                    S.transform(values, lambda v, k: S.struct(v.alias("value"), S.substring(s["value"], k + 1, 1).alias("kind"))).alias("parts"),
                 )
 
-            return S.transform(found(S.array_join(S.transform(t, lambda x: x["kind"]), ""), pattern), one)
+            return S.transform(found(t["kinds"], pattern), one)
+
+        def spans(t: Sql) -> Sql:
+            told = let(S.regexp_extract_all(t["text"], _PIECE, 0), lambda pieces: placed(t, pieces))
+            return S.when(t["kinds"].rlike(pattern), told).when(t["kinds"].isNotNull(), S.array().cast(f"array<{HIT}>"))
 
         return let(tokens, spans)
 
+    def says(self, tokens: Sql, rule: str) -> Sql:
+        """Whether a rule has a hit."""
+        return tokens["kinds"].rlike(self.rule(rule))
+
     def pick(self, parts: Sql, name: str, nth: int = 0) -> Sql:
         """The value of the nth of the tokens that is in the set; null if none is."""
         return S.get(S.filter(parts, lambda t: S.contains(S.lit(self.classes[name]), t["kind"])), S.lit(nth))["value"]

@@ -52,6 +52,7 @@ _RULES = {
     "terms": "^ (incoterm | ex works)",
     "announced": "((we are)? offering for_? | we offer | we have | offer for_) colon?",
     "incoterm": "(incoterm | ex dash? works)",
+    "depot": "depot",
     "ex_depot": "(ex depot)",
     "several": "((incoterm | ex works) any{0,6}? or_)",
     "duty_paid": "(duty dash? paid)",
@@ -76,6 +77,7 @@ _RULES = {
 
 #: Letters without which a text cannot hold what a rule looks for: most texts go no further.
 _SPEAKS = {
+    "price": "(?i)[€£$]|eur|usd|gbp|aed|sgd",
     "size": "[0-9]",
     "quantity": "(?i)^\\s*(?:[0-9]|f|one|two|three|four|five|six|seven|eight|nine|ten)",
     "terms": "(?i)^\\s*[efcd]",
@@ -95,7 +97,20 @@ def _hits(text: Sql, rule: str) -> Sql:
 
 
 def _any(tokens: Sql, rule: str) -> Sql:
-    return S.size(WORDS.hits(tokens, _RULES[rule])) > 0
+    return WORDS.says(tokens, _RULES[rule])
+
+
+def _says(text: Sql, rule: str) -> Sql:
+    """Whether a rule has a hit in a text of its own; false for null."""
+    return S.coalesce(text.rlike(_SPEAKS[rule]) & _any(WORDS.tokens(text), rule), S.lit(False))
+
+
+def _priced(line: Sql, hits: Sql) -> Sql:
+    def one(h: Sql) -> Sql:
+        token = S.substring(line, h["start"] + 1, h["end"] - h["start"])
+        return S.struct(h["start"].alias("start"), h["end"].alias("end"), S.regexp_replace(token, "(?i)\\s*(?<![a-z])per\\s+", "/").alias("token"))
+
+    return S.transform(hits, one)
 
 
 @on_columns
@@ -122,14 +137,7 @@ def lines_of(text: Sql) -> Sql:
 def prices(text: Sql) -> Sql:
     """array<struct<start, end, token>> of all prices; "2 EUR per pcs" reads "2 EUR/pcs"."""
 
-    def read(t: Sql) -> Sql:
-        def one(h: Sql) -> Sql:
-            token = S.substring(t, h["start"] + 1, h["end"] - h["start"])
-            return S.struct(h["start"].alias("start"), h["end"].alias("end"), S.regexp_replace(token, "(?i)\\s*(?<![a-z])per\\s+", "/").alias("token"))
-
-        return S.transform(_hits(t, "price"), one)
-
-    return let(text, read)
+    return let(text, lambda t: _priced(t, _hits(t, "price")))
 
 
 @on_columns
@@ -152,8 +160,10 @@ def read_line(line: Sql) -> Sql:
     """struct of what the first pass needs of a line: prices, head, tail, bare and flags."""
 
     def read(t: Sql) -> Sql:
-        def finish(p: Sql) -> Sql:
-            first = S.get(p, 0)
+        def finish(found: Sql) -> Sql:
+            p, first = found["prices"], S.get(found["prices"], 0)
+            # The head ends where a token begins, so its letters are the line's first ones.
+            kinds = S.struct(S.when(first.isNotNull(), S.left(t["kinds"], found["before"])).otherwise(t["kinds"]).alias("kinds"))
             head = S.when(first.isNotNull(), S.trim(S.left(line, first["start"]))).otherwise(line)
 
             def flags(h: Sql) -> Sql:
@@ -161,13 +171,14 @@ def read_line(line: Sql) -> Sql:
                 reach = line.rlike("^[+0-9][0-9\\s()+-]{7,}$") | line.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}")
                 return S.struct(
                     line.alias("text"), p.alias("prices"), h.alias("head"), S.when(first.isNotNull(), S.substring(line, first["end"] + 1, S.length(line))).otherwise("").alias("tail"),
-                    (S.size(_hits(h, "size")) > 0).alias("sized_head"), _any(t, "size").alias("sized"), (empty | reach | _any(t, "boilerplate")).alias("boilerplate"),
+                    _any(kinds, "size").alias("sized_head"), _any(t, "size").alias("sized"), (empty | reach | _any(t, "boilerplate")).alias("boilerplate"),
                     _any(t, "attribute").alias("attribute"), _any(t, "question").alias("question"), _any(t, "range").alias("range"), _any(t, "inexact").alias("inexact"),
                 )
 
             return let(head, flags)
 
-        return let(prices(line), finish)
+        hits = WORDS.hits(t, _RULES["price"])
+        return let(hits, lambda h: let(S.struct(_priced(line, h).alias("prices"), S.get(h, 0)["first"].alias("before")), finish))
 
     return let(WORDS.tokens(line), read)
 
@@ -197,11 +208,11 @@ def product_name(lines: Sql) -> Sql:
 
     def unlabelled(t: Sql) -> Sql:
         rest = S.trim(S.regexp_extract(t, "^[A-Za-z][A-Za-z ]{0,24}:\\s*(.+)$", 1))
-        return S.when(S.size(_hits(rest, "size")) > 0, rest).otherwise(S.trim(t))
+        return S.when(_says(rest, "size"), rest).otherwise(S.trim(t))
 
     def choose(known: Sql) -> Sql:
         sized = S.transform(S.filter(known, lambda x: x["sized"]), lambda x: unlabelled(without_prices(x["text"])))
-        sized = S.get(S.filter(sized, lambda t: S.size(_hits(t, "size")) > 0), 0)
+        sized = S.get(S.filter(sized, lambda t: _says(t, "size")), 0)
 
         def told(x: Sql) -> Sql:
             def behind(h: Sql) -> Sql:
@@ -274,7 +285,7 @@ def split_quantity(product: Sql) -> Sql:
     quantity in front, taken off the name. A count needs a unit; a name is never emptied."""
 
     def fold(parts: Sql) -> Sql:
-        loose = lambda t: (S.size(_hits(t, "quantity")) > 0) | (S.size(_hits(t, "terms")) > 0)
+        loose = lambda t: _says(t, "quantity") | _says(t, "terms")
         zero = S.struct(S.lit(0).alias("n"), S.lit(False).alias("done"))
 
         def step(acc: Sql, t: Sql) -> Sql:
@@ -357,7 +368,8 @@ def trade_terms(text: Sql) -> Sql:
                 _stated(text, _behind("moq_label"), _behind("minimum_label")).alias("moq"),
             )
 
-        return let(let(S.transform(t, lambda x: S.lower(x["value"])), place), finish)
+        named = S.when(_any(t, "depot"), let(S.transform(t["values"], lambda v: S.lower(v)), place))
+        return let(named, finish)
 
     return let(WORDS.tokens(text), read)
 
@@ -365,7 +377,7 @@ def trade_terms(text: Sql) -> Sql:
 @on_columns
 def several_places(text: Sql) -> Sql:
     """Whether delivery terms name one place or another, in one sentence."""
-    return S.exists(S.split(S.coalesce(text, ""), "[.\\n]", -1), lambda s: S.size(_hits(s, "several")) > 0)
+    return S.exists(S.split(S.coalesce(text, ""), "[.\\n]", -1), lambda s: _says(s, "several"))
 
 
 @on_columns

@@ -15,22 +15,23 @@ _SPAN = "array<struct<start:int,end:int>>"
 def found(text: Sql, pattern: str) -> Sql:
     """array<struct<start, end, value>> of a pattern's matches, left to right.
 
-    The pieces between the matches give the places, by a running sum. Null text is null.
+    A text is taken apart behind each match, and the lengths of the parts give the places, by
+    a running sum. Null text is null.
     """
     none = S.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def placed(p: Sql) -> Sql:
-        def step(done: Sql, k: Sql) -> Sql:
-            at = S.coalesce(S.try_element_at(done, -1)["end"], 0) + S.length(S.get(p["between"], k))
-            value = S.get(p["hits"], k)
-            return S.concat(done, S.array(S.struct(at.alias("start"), (at + S.length(value)).alias("end"), value.alias("value"))))
+    def placed(t: Sql, hits: Sql) -> Sql:
+        # Not split(), which compiles its pattern for every row.
+        parts = S.regexp_extract_all(t, rf"\G(?s:.*?)(?:{pattern})", 0)
 
-        return S.when(S.size(p["hits"]) > 0, S.aggregate(S.sequence(0, S.size(p["hits"]) - 1), none, step)).when(p["hits"].isNotNull(), none)
+        def step(done: Sql, p: Sql) -> Sql:
+            end = S.coalesce(S.try_element_at(done, -1)["end"], 0) + S.length(p["part"])
+            return S.concat(done, S.array(S.struct((end - S.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value"))))
 
-    def pieces(t: Sql) -> Sql:
-        return let(S.struct(S.regexp_extract_all(t, pattern, 0).alias("hits"), S.split(t, pattern, -1).alias("between")), placed)
+        both = S.zip_with(parts, hits, lambda part, value: S.struct(part.alias("part"), value.alias("value")))
+        return S.when(S.size(hits) > 0, S.aggregate(both, none, step)).when(hits.isNotNull(), none)
 
-    return let(text, pieces)
+    return let(text, lambda t: let(S.regexp_extract_all(t, pattern, 0), lambda hits: placed(t, hits)))
 
 
 def merged(spans: Sql) -> Sql:

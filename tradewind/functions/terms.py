@@ -6,7 +6,7 @@ that a name can be given without the terms in it; what could not be read is repo
 
 from __future__ import annotations
 
-from tradewind.functions.lexicon import Lexicon, mapped
+from tradewind.functions.lexicon import HIT, Lexicon, mapped
 from tradewind.functions.spans import found, name_without
 from tradewind.functions.sqltext import S, Sql, let, on_columns
 
@@ -101,6 +101,10 @@ def _hits(tokens: Sql, rule: str) -> Sql:
     return WORDS.hits(tokens, _RULES[rule])
 
 
+def _says(tokens: Sql, rule: str) -> Sql:
+    return WORDS.says(tokens, _RULES[rule])
+
+
 def _first(tokens: Sql, rule: str) -> Sql:
     return S.get(_hits(tokens, rule), S.lit(0))
 
@@ -230,8 +234,7 @@ def _announced(segment: Sql) -> Sql:
     return let(WORDS.tokens(segment["value"]), read)
 
 
-_HIT = "struct<start:int,end:int,first:int,parts:array<struct<start:int,end:int,value:string,kind:string>>>"
-_AROUND = f"struct<key:{_HIT},none:{_HIT},applies:{_HIT}>"
+_AROUND = f"struct<key:{HIT},none:{HIT},applies:{HIT}>"
 
 
 @on_columns
@@ -283,7 +286,7 @@ def lead_time(text: Sql, cell: bool = False) -> Sql:
     """
     whole = S.coalesce(text, S.lit(""))
     if cell:
-        ready = lambda t: S.coalesce(_lead_value(t), S.when(S.size(_hits(t, "whole_stock")) > 0, S.struct(S.lit(0).alias("days"), S.lit(0).alias("start"), S.length(whole).alias("end"))))
+        ready = lambda t: S.coalesce(_lead_value(t), S.when(_says(t, "whole_stock"), S.struct(S.lit(0).alias("days"), S.lit(0).alias("start"), S.length(whole).alias("end"))))
         return S.when(S.trim(whole) != "", let(WORDS.tokens(whole), ready))
 
     def segment(s: Sql) -> Sql:
@@ -311,14 +314,14 @@ def lead_days(text: Sql) -> Sql:
 def mixed_load(text: Sql) -> Sql:
     """False beats true; silence is null."""
     tokens = WORDS.tokens(S.coalesce(text, S.lit("")))
-    said = let(tokens, lambda t: S.when(S.size(_hits(t, "unmixable")) > 0, False).when(S.size(_hits(t, "mixable")) > 0, True))
+    said = let(tokens, lambda t: S.when(_says(t, "unmixable"), False).when(_says(t, "mixable"), True))
     return S.when(text.rlike(_SPEAKS["mixed"]), said)
 
 
 @on_columns
 def keyword_window(text: Sql, rule: str) -> Sql:
     """The segment with a word that announces something, for a report; null without one."""
-    said = S.filter(_segments(_spaced(text)), lambda s: S.size(_hits(WORDS.tokens(s["value"]), rule)) > 0)
+    said = S.filter(_segments(_spaced(text)), lambda s: _says(WORDS.tokens(s["value"]), rule))
     return S.when(text.rlike(_SPEAKS[rule]), _clipped(S.get(said, 0)["value"]))
 
 
@@ -415,5 +418,5 @@ def cleaned_name(name: Sql, spans: Sql) -> Sql:
 
 @on_columns
 def header_terms(header: Sql) -> Sql:
-    """struct<moq, lead, mixed> of a list's header; computed once for each distinct header."""
+    """struct<moq, lead, mixed> of a list's header."""
     return S.struct(minimum_order(header).alias("moq"), lead_time(header).alias("lead"), mixed_load(header).alias("mixed"))
