@@ -47,3 +47,8 @@ def test_hits_have_places_in_the_text(spark):
     got = [r[0] for r in rows.select(applied(lambda t: words.hits(words.tokens(t), messages._RULES["price"]), F.col("t"))).collect()]
     assert [text[h.start : h.end] for h in got[0]] == ["EUR 5.50 /btl", "7 €"] and [h.first for h in got[0]] == [5, 10]
     assert got[1:] == [[], None]
+
+
+def test_a_line_is_told_once_for_all_kinds(spark):
+    df = spark.createDataFrame([("Old Gin, 6 x 70cl duty-paid",)], "t string").select(intake.first_kind(F.col("t"), intake.CATEGORIES).alias("kind"))
+    assert df.first()[0] == "Spirits" and plan(df).count("regexp_extract_all") == 1

@@ -55,9 +55,13 @@ MINIMA = {
 def first_kind(text: Column, kinds: dict[str, str]) -> Column:
     """The first kind one of whose phrases the text says in whole words, or empty."""
     said = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+|[^a-z0-9_\\s]"), F.lit(0))
-    line = F.concat(F.lit(" "), F.array_join(said, " "), F.lit(" "))
-    found = [F.when(F.exists(F.array(*(F.lit(f" {p} ") for p in phrases.split("|"))), lambda p: F.contains(line, p)), kind) for kind, phrases in kinds.items()]
-    return F.coalesce(*found, F.lit(""))
+    spaced = F.concat(F.lit(" "), F.array_join(said, " "), F.lit(" "))
+
+    def read(line: Column) -> Column:
+        return F.coalesce(*(F.when(line.rlike(f" (?:{phrases}) "), kind) for kind, phrases in kinds.items()), F.lit(""))
+
+    # The words are told once for all kinds.
+    return F.get(F.transform(F.array(spaced), read), F.lit(0))
 
 
 def brand_of(text: Column) -> Column:

@@ -23,11 +23,10 @@ from tradewind.plans.registry import query
 )
 def wanted_line(lines):
     text = F.col("text")
-    brand = intake.brand_of(text)
-    return lines.select(
+    return lines.withColumn("brand", intake.brand_of(text)).select(
         "line_id",
-        brand.alias("brand"),
-        intake.variant_of(text, brand).alias("variant"),
+        "brand",
+        intake.variant_of(text, F.col("brand")).alias("variant"),
         intake.first_kind(text, intake.CATEGORIES).alias("category"),
         intake.first_kind(text, intake.UNITS).alias("unit"),
         intake.first_kind(text, intake.BONDS).alias("bond"),
