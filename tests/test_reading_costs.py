@@ -52,3 +52,8 @@ def test_hits_have_places_in_the_text(spark):
 def test_a_line_is_told_once_for_all_kinds(spark):
     df = spark.createDataFrame([("Old Gin, 6 x 70cl duty-paid",)], "t string").select(intake.first_kind(F.col("t"), intake.CATEGORIES).alias("kind"))
     assert df.first()[0] == "Spirits" and plan(df).count("regexp_extract_all") == 1
+
+
+def test_a_body_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"fields": {"a": 1}}',), ('{"a": 2}',), ("[",)], "t string").select(F.to_json(intake_payload.parsed(F.col("t"))).alias("body"))
+    assert [r[0] for r in df.collect()] == ['{"a":1}', '{"a":2}', None] and plan(df).count("parseJson") == 1

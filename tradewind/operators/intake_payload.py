@@ -20,9 +20,12 @@ LINE = ["description", "sourceRow", "qty", "unit", "matched", "brand", "volumeMl
 def parsed(body: Column) -> Column:
     """JSON text as VARIANT; null if it is none. A body wrapped as {"fields": {...}} is
     unwrapped, a bare one stays."""
-    whole = F.try_parse_json(body)
-    inner = F.try_variant_get(whole, "$.fields", "variant")
-    return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(whole)
+
+    def unwrapped(whole: Column) -> Column:
+        inner = F.try_variant_get(whole, "$.fields", "variant")
+        return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(whole)
+
+    return F.get(F.transform(F.array(F.try_parse_json(body)), unwrapped), F.lit(0))
 
 
 def text(body: Column, path: str) -> Column:

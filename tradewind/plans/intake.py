@@ -84,6 +84,11 @@ def service_lines(s):
     return each.select("result_id", (F.col("at") + 1).alias("n"), *named, keys.alias("n_keys"))
 
 
+def _told(s):
+    """Answers and contacts parsed, in columns of their own, since a payload asks them for many keys."""
+    return s.select("result_id", ip.parsed(F.col("result")).alias("told"), F.try_parse_json("contact").alias("who"))
+
+
 @query(
     "s19_x25_x31_enquiries",
     f"""WITH {_SERVICE}, who AS (SELECT DISTINCT result_id, lower(nullif(contact->>'$.email', '')) AS email, nullif(contact->>'$.company', '') AS company, nullif(contact->>'$.name', '') AS name FROM result)
@@ -96,7 +101,7 @@ def service_lines(s):
 def enquiries(s):
     """Answers as payloads, and payloads as the intake reads them: checks, names, summaries."""
     file = F.when(F.col("result_id") % 8 != 0, F.lit('{"name":"list.xlsx","file":"QUJD"}')).otherwise(F.lit("{}"))
-    sent = s.select("result_id", ip.payload(ip.parsed(F.col("result")), F.try_parse_json("contact"), F.try_parse_json(file)).alias("sent"))
+    sent = _told(s).select("result_id", ip.payload(F.col("told"), F.col("who"), F.try_parse_json(file)).alias("sent"))
     read = ip.composed(sent.withColumn("body", ip.parsed(F.col("sent"))).withColumn("received", F.lit("2024-01-30 10:00:00").cast("timestamp")))
     count = F.format_string("%.0f", F.col("requested_qty").cast("double"))
     return read.select("result_id", F.array_join(F.json_object_keys("sent"), ",").alias("keys"), "error_text", "display_name", "line_summary", count.alias("requested_qty"))
@@ -109,6 +114,6 @@ def enquiries(s):
 )
 def unmatched_lines(s):
     """What nothing could be sold for, one row each, with the enquiry's client attached."""
-    sent = s.select("result_id", ip.payload(ip.parsed(F.col("result")), F.try_parse_json("contact"), F.try_parse_json(F.lit("{}"))).alias("sent"))
+    sent = _told(s).select("result_id", ip.payload(F.col("told"), F.col("who"), F.try_parse_json(F.lit("{}"))).alias("sent"))
     read = sent.select("result_id", ip.parsed(F.col("sent")).alias("body"), F.lit("IQ-20240130-100000").alias("enquiry_id"), F.concat(F.lit("buyer "), F.col("result_id") % 10).alias("client"))
     return ip.unmatched(read).select("result_id", "wanted_id", "raw", "target", "client")
