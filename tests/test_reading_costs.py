@@ -57,3 +57,10 @@ def test_a_line_is_told_once_for_all_kinds(spark):
 def test_a_body_is_parsed_once(spark):
     df = spark.createDataFrame([('{"fields": {"a": 1}}',), ('{"a": 2}',), ("[",)], "t string").select(F.to_json(intake_payload.parsed(F.col("t"))).alias("body"))
     assert [r[0] for r in df.collect()] == ['{"a":1}', '{"a":2}', None] and plan(df).count("parseJson") == 1
+
+
+def test_terms_of_lines_need_no_join(spark):
+    default = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("double").alias("qty"), F.lit(None).cast("int").alias("days"))
+    lines = spark.createDataFrame([("Old Gin", None, None, None, "Lead time 5 days")], "name string, moq string, lead string, notes string, header string")
+    read = with_line_terms(lines, default)
+    assert "Join" not in plan(read) and read.first().lead_days == 5

@@ -21,11 +21,11 @@ def with_line_terms(lines: DataFrame, default: Column) -> DataFrame:
     both minimum and lead time are known and nothing was left over, Unrecognised where
     neither is, else Partial.
 
-    Distinct headers are few for many lines: each is read once and joined.
+    All in place: a line is read where it lies with its header, since a join on the few
+    distinct headers would bring most lines to a few tasks.
     """
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    heads = lines.select(text("header").alias("_header")).distinct().withColumn("_head", t.header_terms(F.col("_header")))
-    wide = lines.withColumns({"_header": text("header"), "_name": text("name"), "_moq": text("moq"), "_lead": text("lead"), "_notes": text("notes")}).join(heads, "_header", "left")
+    wide = lines.withColumns({"_head": t.header_terms(text("header")), "_name": text("name"), "_moq": text("moq"), "_lead": text("lead"), "_notes": text("notes")})
     read = {
         "moq_cell": t.minimum_order(F.col("_moq"), cell=True),
         "moq_name": t.minimum_order(F.col("_name")),
