@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewind.functions import intake, messages
 from tradewind.functions.sqltext import applied
 from tradewind.operators import intake_payload
+from tradewind.operators.chat_offers import chat_offers
 from tradewind.operators.terms import with_line_terms
 from tradewind.sources import adapters
 
@@ -64,3 +65,20 @@ def test_terms_of_lines_need_no_join(spark):
     lines = spark.createDataFrame([("Old Gin", None, None, None, "Lead time 5 days")], "name string, moq string, lead string, notes string, header string")
     read = with_line_terms(lines, default)
     assert "Join" not in plan(read) and read.first().lead_days == 5
+
+
+def test_terms_of_offers_are_read_from_the_letters_of_lines(spark):
+    df = chat_offers(spark.createDataFrame([("A 70cl EUR 1",)], "text string"))
+    # Each ascii() tells the tokens of some text: whole messages and scopes are not told anew.
+    assert plan(df).count("ascii(") < 60 and "Filter" not in plan(df)
+
+
+def test_a_price_without_a_currency_leaves_the_name(spark):
+    (r,) = chat_offers(spark.createDataFrame([("\n Gin 70cl 5/btl\n\n 12 cs  \n EXW Riga or NL",)], "text string")).collect()
+    assert (r["product"], r["price"], r["stock_cases"], r["incoterm"], r["warehouse"], r["warehouse_source"]) == ("Gin 70cl", "5/btl", 12, "EXW", "NL", "line")
+
+
+def test_letters_know_a_capital_that_grows(spark):
+    words = messages.WORDS
+    df = spark.createDataFrame([("İn EUR Σİ 5 xİ",)], "t string").select(applied(words.letters, F.col("t")))
+    assert df.first()[0] == words.plain_word + words.letter_of["eur"] + words.plain_word + words.plain_number + words.plain_word

@@ -47,24 +47,28 @@ class Lexicon:
         self.classes["number"] = number + "".join(sorted({x for w, x in self.letter_of.items() if w[0].isdigit()}))
         self.classes["word"] = word
 
-    def tokens(self, text: Sql) -> Sql:
-        """struct<text, values, kinds>: tokens, and their letters as one string; all null for
-        null text."""
+    def letters(self, text: Sql) -> Sql:
+        """The letters of a text's tokens as one string; null for null text."""
         shelves = S.array(*map(table, self.shelves))
 
-        def kind(value: Sql) -> Sql:
-            def read(w: Sql) -> Sql:
-                # By comparison where one character tells: a pattern for each token is dear.
-                shape = S.when((w >= "a") & (w < "{"), self.plain_word).when((w >= "0") & (w < ":"), self.plain_number)
-                shape = shape.when(w < "\u0080", self.other).when(w.rlike(r"^\p{L}"), self.plain_word).otherwise(self.other)
-                return S.coalesce(S.try_element_at(S.get(shelves, S.pmod(S.ascii(w), _SHELVES)), w), shape)
+        def kind(w: Sql) -> Sql:
+            # By comparison where one character tells: a pattern for each token is dear.
+            shape = S.when((w >= "a") & (w < "{"), self.plain_word).when((w >= "0") & (w < ":"), self.plain_number)
+            shape = shape.when(w < "\u0080", self.other).when(w.rlike(r"^\p{L}"), self.plain_word).otherwise(self.other)
+            return S.coalesce(S.try_element_at(S.get(shelves, S.pmod(S.ascii(w), _SHELVES)), w), shape)
 
-            return let(S.lower(value), read)
+        # The text is put in lower case once. Only this capital would become two characters.
+        low = S.lower(S.replace(text, "\u0130", "\u0131"))
+        return S.array_join(S.transform(S.regexp_extract_all(low, _TOKEN, 0), kind), "")
 
-        def read(t: Sql) -> Sql:
-            return let(S.regexp_extract_all(t, _TOKEN, 0), lambda v: S.struct(t.alias("text"), v.alias("values"), S.array_join(S.transform(v, kind), "").alias("kinds")))
+    def told(self, text: Sql) -> Sql:
+        """struct<text, kinds>: a text and its letters, which is what rules run on."""
+        return let(text, lambda t: S.struct(t.alias("text"), self.letters(t).alias("kinds")))
 
-        return let(text, read)
+    def tokens(self, text: Sql) -> Sql:
+        """struct<text, values, kinds>: tokens, and their letters as one string; all null for
+        null text."""
+        return let(text, lambda t: S.struct(t.alias("text"), values(t).alias("values"), self.letters(t).alias("kinds")))
 
     def rule(self, text: str) -> str:
         """A rule over names, as a pattern over letters. Operators are those of patterns."""
@@ -73,30 +77,37 @@ class Lexicon:
 
     def hits(self, tokens: Sql, rule: str) -> Sql:
         """array<struct<start, end, first, parts>> of a rule: place in the text, number of
-        the first token, and the tokens' values and kinds."""
+        the first token, and the tokens' values and kinds. tokens: `told` of the text."""
         pattern = self.rule(rule)
 
-        def placed(t: Sql, pieces: Sql) -> Sql:
+        def placed(t: Sql, cut: Sql) -> Sql:
             def upto(n: Sql) -> Sql:
-                return S.length(S.array_join(S.slice(pieces, 1, n), ""))
+                return S.length(S.array_join(S.slice(cut["pieces"], 1, n), ""))
 
             def one(s: Sql) -> Sql:
-                values = S.slice(t["values"], s["start"] + 1, s["end"] - s["start"])
+                hit = S.slice(cut["values"], s["start"] + 1, s["end"] - s["start"])
                 return S.struct(
-                    (upto(s["start"] + 1) - S.length(S.get(t["values"], s["start"]))).alias("start"),
+                    (upto(s["start"] + 1) - S.length(S.get(cut["values"], s["start"]))).alias("start"),
                     upto(s["end"]).alias("end"),
                     s["start"].alias("first"),
-                    S.transform(values, lambda v, k: S.struct(v.alias("value"), S.substring(s["value"], k + 1, 1).alias("kind"))).alias("parts"),
+                    S.transform(hit, lambda v, k: S.struct(v.alias("value"), S.substring(s["value"], k + 1, 1).alias("kind"))).alias("parts"),
                 )
 
             return S.transform(found(t["kinds"], pattern), one)
 
         def spans(t: Sql) -> Sql:
-            told = let(S.regexp_extract_all(t["text"], _PIECE, 0), lambda pieces: placed(t, pieces))
+            cut = S.struct(S.regexp_extract_all(t["text"], _PIECE, 0).alias("pieces"), values(t["text"]).alias("values"))
+            told = let(cut, lambda c: placed(t, c))
             return S.when(t["kinds"].rlike(pattern), told).when(t["kinds"].isNotNull(), S.array().cast(f"array<{HIT}>"))
 
         return let(tokens, spans)
 
+    def first(self, tokens: Sql, rule: str) -> Sql:
+        """The value of the token where a rule without anchors first hits; null without a hit."""
+        pattern = self.rule(rule)
+        before = S.length(S.regexp_extract(tokens["kinds"], f"^(.*?)(?:{pattern})", 1))
+        return S.when(tokens["kinds"].rlike(pattern), S.get(values(tokens["text"]), before))
+
     def says(self, tokens: Sql, rule: str) -> Sql:
         """Whether a rule has a hit."""
         return tokens["kinds"].rlike(self.rule(rule))
@@ -106,6 +117,11 @@ class Lexicon:
         return S.get(S.filter(parts, lambda t: S.contains(S.lit(self.classes[name]), t["kind"])), S.lit(nth))["value"]
 
 
+def values(text: Sql) -> Sql:
+    """The tokens of a text."""
+    return S.regexp_extract_all(text, _TOKEN, 0)
+
+
 def table(pairs: dict[str, str]) -> Sql:
     """A constant map, as one literal to plan."""
     return S.str_to_map(S.lit("\u0002".join(f"{k}\u0001{v}" for k, v in pairs.items())), S.lit("\u0002"), S.lit("\u0001"))

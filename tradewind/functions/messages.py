@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.functions.lexicon import Lexicon, mapped
+from tradewind.functions.lexicon import Lexicon, mapped, values
 from tradewind.functions.spans import without
 from tradewind.functions.sqltext import S, Sql, let, on_columns
 
@@ -77,12 +77,12 @@ _RULES = {
 
 #: Letters without which a text cannot hold what a rule looks for: most texts go no further.
 _SPEAKS = {
-    "price": "(?i)[€£$]|eur|usd|gbp|aed|sgd",
+    "price": "(?i)[€£$/]|eur|usd|gbp|aed|sgd",
     "size": "[0-9]",
     "quantity": "(?i)^\\s*(?:[0-9]|f|one|two|three|four|five|six|seven|eight|nine|ten)",
     "terms": "(?i)^\\s*[efcd]",
     "announced": "(?i)offer|we",
-    "several": "(?i)\\bor\\b",
+    "several": "(?i)(?<!\\p{L})or(?!\\p{L})",
     "lead_label": "(?i)lead",
     "lead_first": "(?i)^[0-9].*(?:day|week|month)",
     "lead_before": "(?i)lead",
@@ -93,7 +93,7 @@ _SPEAKS = {
 
 def _hits(text: Sql, rule: str) -> Sql:
     """A rule's hits in a text of its own; none, without a look at its words, in most texts."""
-    return S.when(text.rlike(_SPEAKS[rule]) if rule in _SPEAKS else text.isNotNull(), WORDS.hits(WORDS.tokens(text), _RULES[rule])).otherwise(S.array())
+    return S.when(text.rlike(_SPEAKS[rule]) if rule in _SPEAKS else text.isNotNull(), WORDS.hits(WORDS.told(text), _RULES[rule])).otherwise(S.array())
 
 
 def _any(tokens: Sql, rule: str) -> Sql:
@@ -102,7 +102,7 @@ def _any(tokens: Sql, rule: str) -> Sql:
 
 def _says(text: Sql, rule: str) -> Sql:
     """Whether a rule has a hit in a text of its own; false for null."""
-    return S.coalesce(text.rlike(_SPEAKS[rule]) & _any(WORDS.tokens(text), rule), S.lit(False))
+    return S.coalesce(text.rlike(_SPEAKS[rule]) & _any(WORDS.told(text), rule), S.lit(False))
 
 
 def _priced(line: Sql, hits: Sql) -> Sql:
@@ -143,13 +143,17 @@ def prices(text: Sql) -> Sql:
 @on_columns
 def is_supplier_offer(text: Sql) -> Sql:
     """Has a price and is not written by a buyer."""
-    return let(WORDS.tokens(S.coalesce(text, "")), lambda t: _any(t, "price") & ~_any(t, "buyer"))
+    return let(WORDS.told(S.coalesce(text, "")), lambda t: _any(t, "price") & ~_any(t, "buyer"))
 
 
 @on_columns
 def without_prices(text: Sql) -> Sql:
     """A line without its prices, and without the marks and labels that led to them."""
-    bare = let(text, lambda t: S.trim(S.regexp_replace(without(t, _hits(t, "price")), "\\s+", " ")))
+    return let(text, lambda t: _bare(t, _hits(t, "price")))
+
+
+def _bare(text: Sql, prices: Sql) -> Sql:
+    bare = S.trim(S.regexp_replace(without(text, prices), "\\s+", " "))
     # What may stand between a name and a price, in any order and number.
     bare = S.regexp_replace(bare, "(?i)(?:[\\s\\-–—@|,;]|(?:(?<![a-z0-9_])prices?)?\\s*:)+\\z", "")
     return S.trim(S.regexp_replace(bare, "\\A[\\s\\-–—@|]+", ""))
@@ -157,7 +161,8 @@ def without_prices(text: Sql) -> Sql:
 
 @on_columns
 def read_line(line: Sql) -> Sql:
-    """struct of what the first pass needs of a line: prices, head, tail, bare and flags."""
+    """struct of what is needed of a line: prices, head, tail, flags, its letters, and how many
+    of these end with the first price. A line's tokens are told here and nowhere else."""
 
     def read(t: Sql) -> Sql:
         def finish(found: Sql) -> Sql:
@@ -168,19 +173,62 @@ def read_line(line: Sql) -> Sql:
 
             def flags(h: Sql) -> Sql:
                 empty = ~line.rlike("[\\p{L}0-9]")
-                reach = line.rlike("^[+0-9][0-9\\s()+-]{7,}$") | line.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}")
+                reach = line.rlike("^[+0-9][0-9\\s()+-]{7,}$") | S.contains(line, "@") & line.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}")
                 return S.struct(
                     line.alias("text"), p.alias("prices"), h.alias("head"), S.when(first.isNotNull(), S.substring(line, first["end"] + 1, S.length(line))).otherwise("").alias("tail"),
                     _any(kinds, "size").alias("sized_head"), _any(t, "size").alias("sized"), (empty | reach | _any(t, "boilerplate")).alias("boilerplate"),
-                    _any(t, "attribute").alias("attribute"), _any(t, "question").alias("question"), _any(t, "range").alias("range"), _any(t, "inexact").alias("inexact"),
+                    _any(t, "attribute").alias("attribute"), _any(t, "question").alias("question"), S.when(first.isNotNull(), _any(t, "range")).otherwise(False).alias("range"), _any(t, "inexact").alias("inexact"),
+                    t["kinds"].alias("kinds"), found["behind"].alias("behind"),
                 )
 
             return let(head, flags)
 
         hits = WORDS.hits(t, _RULES["price"])
-        return let(hits, lambda h: let(S.struct(_priced(line, h).alias("prices"), S.get(h, 0)["first"].alias("before")), finish))
 
-    return let(WORDS.tokens(line), read)
+        def placed(h: Sql) -> Sql:
+            top = S.get(h, 0)
+            return let(S.struct(_priced(line, h).alias("prices"), top["first"].alias("before"), (top["first"] + S.size(top["parts"])).alias("behind")), finish)
+
+        return let(hits, placed)
+
+    return let(WORDS.told(line), read)
+
+
+@on_columns
+def is_list(lines: Sql) -> Sql:
+    """Whether two priced lines or more state a size."""
+    return S.size(S.filter(lines, lambda x: (S.size(x["prices"]) > 0) & x["sized_head"] & ~x["boilerplate"])) >= 2
+
+
+@on_columns
+def body(lines: Sql, text: Sql) -> Sql:
+    """struct<text, kinds> of a message's lines, parted by one line end each. A line end before
+    all lines stays."""
+    opens = text.rlike("\\A *\\n")
+    joined = lambda field, by: S.array_join(S.transform(lines, lambda x: x[field]), by)
+    return S.struct(S.concat(S.when(opens, "\n").otherwise(""), joined("text", "\n")).alias("text"), S.concat(S.when(opens, WORDS.other).otherwise(""), joined("kinds", WORDS.other)).alias("kinds"))
+
+
+@on_columns
+def scopes(rows: Sql, lines: Sql, whole: Sql) -> Sql:
+    """array<struct<text, kinds>>, one for each of `decided`: the line of a list, or `body`."""
+    return S.transform(rows, lambda r: S.when(r["list"], let(S.get(lines, r["line"]), lambda x: S.struct(x["text"].alias("text"), x["kinds"].alias("kinds")))).otherwise(whole))
+
+
+@on_columns
+def stretches(rows: Sql, lines: Sql, own: Sql, whole: Sql) -> Sql:
+    """array<struct<text, kinds>> to read terms from: for each row what follows its price, then
+    its scope (own: `scopes`). In a list, `body` comes last. No text is told anew."""
+
+    def one(r: Sql, scope: Sql) -> Sql:
+        def joined(x: Sql) -> Sql:
+            behind = S.when(x["behind"].isNotNull(), S.substring(x["kinds"], x["behind"] + 1, S.length(x["kinds"]))).otherwise("")
+            return S.struct(S.concat_ws("\n", r["tail"], scope["text"]).alias("text"), S.concat(behind, S.lit(WORDS.other), scope["kinds"]).alias("kinds"))
+
+        return let(S.get(lines, r["line"]), joined)
+
+    each = S.zip_with(rows, own, one)
+    return S.when(S.get(rows, 0)["list"], S.concat(each, S.array(whole))).otherwise(each)
 
 
 @on_columns
@@ -196,7 +244,7 @@ def with_headings(lines: Sql) -> Sql:
 
     kind = (
         "array<struct<line:struct<text:string,prices:array<struct<start:int,end:int,token:string>>,head:string,tail:string,sized_head:boolean,sized:boolean,"
-        "boilerplate:boolean,attribute:boolean,question:boolean,range:boolean,inexact:boolean>,names:boolean,heading:string>>"
+        "boilerplate:boolean,attribute:boolean,question:boolean,range:boolean,inexact:boolean,kinds:string,behind:int>,names:boolean,heading:string>>"
     )
     return S.aggregate(lines, S.array().cast(kind), step)
 
@@ -211,17 +259,22 @@ def product_name(lines: Sql) -> Sql:
         return S.when(_says(rest, "size"), rest).otherwise(S.trim(t))
 
     def choose(known: Sql) -> Sql:
-        sized = S.transform(S.filter(known, lambda x: x["sized"]), lambda x: unlabelled(without_prices(x["text"])))
-        sized = S.get(S.filter(sized, lambda t: _says(t, "size")), 0)
+        def first(of: Sql, read) -> Sql:
+            """What the first line gives that gives something; lines behind it are not read."""
+            return S.aggregate(of, S.lit(None).cast("string"), lambda done, x: S.when(done.isNotNull(), done).otherwise(read(x)))
+
+        def of_size(x: Sql) -> Sql:
+            return let(unlabelled(_bare(x["text"], x["prices"])), lambda t: S.when(_says(t, "size"), t))
 
         def told(x: Sql) -> Sql:
             def behind(h: Sql) -> Sql:
                 rest = S.trim(S.substring(x["text"], h["end"] + 1, S.length(x["text"])))
                 return S.when(S.length(rest) > 2, without_prices(rest))
 
-            return let(S.get(_hits(x["text"], "announced"), 0), behind)
+            return let(S.get(WORDS.hits(x, _RULES["announced"]), 0), behind)
 
-        announced = S.get(S.filter(S.transform(known, told), lambda t: t.isNotNull()), 0)
+        sized = first(S.filter(known, lambda x: x["sized"]), of_size)
+        announced = first(known, told)
 
         def named(x: Sql) -> Sql:
             label = S.lower(S.regexp_extract(x["text"], "^([A-Za-z][A-Za-z ]{0,24}):", 1))
@@ -347,45 +400,50 @@ def _matched(rule: str):
 
 
 @on_columns
-def trade_terms(text: Sql) -> Sql:
-    """struct<incoterm, warehouse, bond, lead, moq>; null where nothing is stated."""
+def trade_terms(told: Sql) -> Sql:
+    """struct<incoterm, warehouse, bond, lead, moq>; null where nothing is stated. told: a
+    struct<text, kinds>."""
 
     def read(t: Sql) -> Sql:
-        def place(values: Sql) -> Sql:
-            alias = S.get(S.filter(values, lambda w: mapped(w, WAREHOUSE_ALIASES).isNotNull()), 0)
-            listed = S.get(S.filter(S.array(*WAREHOUSES), lambda w: S.array_contains(values, S.lower(w))), 0)
+        def place(said: Sql) -> Sql:
+            alias = S.get(S.filter(said, lambda w: mapped(w, WAREHOUSE_ALIASES).isNotNull()), 0)
+            listed = S.get(S.filter(S.array(*WAREHOUSES), lambda w: S.array_contains(said, S.lower(w))), 0)
             return S.coalesce(mapped(alias, WAREHOUSE_ALIASES), listed)
 
         def finish(w: Sql) -> Sql:
-            code = S.get(WORDS.hits(t, _RULES["incoterm"]), 0)
-            known = S.when(code.isNotNull(), S.coalesce(mapped(S.get(code["parts"], 0)["value"], INCOTERMS), S.lit("EXW")))
+            text = t["text"]
+            known = let(WORDS.first(t, _RULES["incoterm"]), lambda code: S.when(code.isNotNull(), S.coalesce(mapped(code, INCOTERMS), S.lit("EXW"))))
+            lead = _stated(text, _behind("lead_label"), _matched("lead_first"), _matched("lead_before"))
+            moq = _stated(text, _behind("moq_label"), _behind("minimum_label"))
             bond = S.when(text.rlike("\\bT1\\b"), "T1").when(text.rlike("(?i)\\bT2\\b"), "T2").when(_any(t, "duty_paid"), "Duty Paid").when(_any(t, "bonded"), "Bonded")
             return S.struct(
                 S.coalesce(known, S.when(w.isNotNull() & _any(t, "ex_depot"), "EXW")).alias("incoterm"),
                 w.alias("warehouse"),
                 bond.alias("bond"),
-                _stated(text, _behind("lead_label"), _matched("lead_first"), _matched("lead_before")).alias("lead"),
-                _stated(text, _behind("moq_label"), _behind("minimum_label")).alias("moq"),
+                S.when(text.rlike("(?i)lead|day|week|month"), lead).alias("lead"),
+                S.when(text.rlike("(?i)moq|minimum"), moq).alias("moq"),
             )
 
-        named = S.when(_any(t, "depot"), let(S.transform(t["values"], lambda v: S.lower(v)), place))
+        named = S.when(_any(t, "depot"), let(S.transform(values(t["text"]), lambda v: S.lower(v)), place))
         return let(named, finish)
 
-    return let(WORDS.tokens(text), read)
+    return let(told, read)
 
 
 @on_columns
 def several_places(text: Sql) -> Sql:
     """Whether delivery terms name one place or another, in one sentence."""
-    return S.exists(S.split(S.coalesce(text, ""), "[.\\n]", -1), lambda s: _says(s, "several"))
+    return S.coalesce(text.rlike(_SPEAKS["several"]), S.lit(False)) & S.exists(S.split(S.coalesce(text, ""), "[.\\n]", -1), lambda s: _says(s, "several"))
 
 
 @on_columns
-def attributes(text: Sql) -> Sql:
-    """struct<stock_cases, cases_per_pallet, pcs_case, bbd, ean>, each null unless stated.
-    A best-before range is no date."""
+def attributes(qty: Sql, scope: Sql) -> Sql:
+    """struct<stock_cases, cases_per_pallet, pcs_case, bbd, ean> of a quantity and the text
+    (struct<text, kinds>) behind it, each null unless stated. A best-before range is no date."""
 
     def read(t: Sql) -> Sql:
+        text = t["text"]
+
         def number(rule: str) -> Sql:
             hit = S.get(WORDS.hits(t, _RULES[rule]), 0)
             digits = S.array_join(S.transform(S.filter(hit["parts"], lambda p: S.contains(WORDS.classes["number"], p["kind"])), lambda p: S.regexp_replace(p["value"], "[.,]", "")), "")
@@ -398,10 +456,8 @@ def attributes(text: Sql) -> Sql:
             number("stock").alias("stock_cases"),
             number("per_pallet").alias("cases_per_pallet"),
             S.coalesce(number("per_case"), number("packing")).alias("pcs_case"),
-            S.when(~ranged, S.nullif(S.regexp_extract(text, date, 1), "")).alias("bbd"),
+            S.when(text.rlike("(?i)bbd"), S.when(~ranged, S.nullif(S.regexp_extract(text, date, 1), ""))).alias("bbd"),
             S.when(ean.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), ean).alias("ean"),
         )
 
-    return let(WORDS.tokens(text), read)
-
-
+    return let(S.struct(S.concat_ws(" ", qty, scope["text"]).alias("text"), S.concat(WORDS.letters(qty), scope["kinds"]).alias("kinds")), read)

@@ -198,7 +198,7 @@ def _value(text: Sql, at_end: bool = False) -> Sql:
         single = [_first(t, r).alias(r) for r in ("none", "truck", "container", "pallets")]
         return let(S.struct(money(t).alias("money"), counts(t).alias("counts"), _first(t, "last" if at_end else "first").alias("bare"), *single), read)
 
-    return let(WORDS.tokens(text), parts)
+    return let(WORDS.told(text), parts)
 
 
 def _moved(term: Sql, start: Sql, end: Sql) -> Sql:
@@ -231,7 +231,7 @@ def _announced(segment: Sql) -> Sql:
 
         return let(S.struct(*(_first(t, r).alias(r) for r in ("keyword", "none", "applies"))).cast(_AROUND), around)
 
-    return let(WORDS.tokens(segment["value"]), read)
+    return let(WORDS.told(segment["value"]), read)
 
 
 _AROUND = f"struct<key:{HIT},none:{HIT},applies:{HIT}>"
@@ -260,7 +260,7 @@ def minimum_order(text: Sql, cell: bool = False) -> Sql:
 
         return let(S.struct(*(_first(t, r).alias(r) for r in ("keyword", "none", "applies"))).cast(_AROUND), choose)
 
-    return S.when(S.trim(whole) != "", let(WORDS.tokens(whole), read))
+    return S.when(S.trim(whole) != "", let(WORDS.told(whole), read))
 
 
 def _lead_value(t: Sql) -> Sql:
@@ -287,7 +287,7 @@ def lead_time(text: Sql, cell: bool = False) -> Sql:
     whole = S.coalesce(text, S.lit(""))
     if cell:
         ready = lambda t: S.coalesce(_lead_value(t), S.when(_says(t, "whole_stock"), S.struct(S.lit(0).alias("days"), S.lit(0).alias("start"), S.length(whole).alias("end"))))
-        return S.when(S.trim(whole) != "", let(WORDS.tokens(whole), ready))
+        return S.when(S.trim(whole) != "", let(WORDS.told(whole), ready))
 
     def segment(s: Sql) -> Sql:
         def read(t: Sql) -> Sql:
@@ -299,7 +299,7 @@ def lead_time(text: Sql, cell: bool = False) -> Sql:
 
             return let(S.struct(_first(t, "lead").alias("lead"), _first(t, "stock").alias("stock"), _lead_value(t).alias("value")), choose)
 
-        return let(WORDS.tokens(s["value"]), read)
+        return let(WORDS.told(s["value"]), read)
 
     told = S.get(S.filter(S.transform(_segments(whole), segment), lambda v: v.isNotNull()), 0)
     return S.when(whole.rlike(_SPEAKS["lead"]), told)
@@ -313,7 +313,7 @@ def lead_days(text: Sql) -> Sql:
 @on_columns
 def mixed_load(text: Sql) -> Sql:
     """False beats true; silence is null."""
-    tokens = WORDS.tokens(S.coalesce(text, S.lit("")))
+    tokens = WORDS.told(S.coalesce(text, S.lit("")))
     said = let(tokens, lambda t: S.when(_says(t, "unmixable"), False).when(_says(t, "mixable"), True))
     return S.when(text.rlike(_SPEAKS["mixed"]), said)
 
@@ -321,7 +321,7 @@ def mixed_load(text: Sql) -> Sql:
 @on_columns
 def keyword_window(text: Sql, rule: str) -> Sql:
     """The segment with a word that announces something, for a report; null without one."""
-    said = S.filter(_segments(_spaced(text)), lambda s: _says(WORDS.tokens(s["value"]), rule))
+    said = S.filter(_segments(_spaced(text)), lambda s: _says(WORDS.told(s["value"]), rule))
     return S.when(text.rlike(_SPEAKS[rule]), _clipped(S.get(said, 0)["value"]))
 
 

@@ -19,12 +19,25 @@ def offer_lines(messages: DataFrame) -> DataFrame:
     is the last line above that names a product by its size. Messages without any line
     give no row. All in place: a message is read where it lies, nothing is shuffled.
     """
+    return _each(_decided(messages), lambda row, k: F.struct(row.alias("row"))).drop("_text", "_lines", "_rows", "_of")
+
+
+def _decided(messages: DataFrame) -> DataFrame:
+    """messages with their lines and rows, in arrays _lines and _rows."""
     wide = messages.withColumn("_text", m.clean(F.col("text")))
     wide = wide.withColumn("_lines", F.transform(m.lines_of(F.col("_text")), lambda x: m.read_line(x)))
-    wide = wide.withColumn("_told", m.with_headings(F.col("_lines"))).withColumn("_name", m.product_name(F.col("_lines")))
-    wide = wide.withColumn("_row", F.explode(m.decided(F.col("_told"), F.col("_name")))).withColumn("_bare", m.without_prices(F.col("_row.product")))
+    name = F.when(~m.is_list(F.col("_lines")), m.product_name(F.col("_lines")))
+    return wide.withColumn("_rows", m.decided(m.with_headings(F.col("_lines")), name))
+
+
+def _each(decided: DataFrame, made) -> DataFrame:
+    """One row for each of _rows, with OFFER; made(row, number) is a struct `_of` with `row`.
+
+    What is exploded is made here: of a column, Spark would infer a filter, push it below the
+    reading of messages, and read them once more for it.
+    """
+    wide = decided.withColumn("_of", F.explode(F.transform("_rows", made))).withColumn("_row", F.col("_of.row")).withColumn("_bare", m.without_prices(F.col("_row.product")))
     wide = wide.withColumn("_split", m.split_quantity(F.when(F.col("_bare") == "", F.col("_row.product")).otherwise(F.col("_bare"))))
-    wide = wide.withColumn("_scope", F.when(F.col("_row.list"), F.get("_lines", F.col("_row.line"))["text"]).otherwise(F.col("_text")))
     found = {
         "line": F.col("_row.line"),
         "mode": F.when(F.col("_row.list"), "list").otherwise("single"),
@@ -33,9 +46,8 @@ def offer_lines(messages: DataFrame) -> DataFrame:
         "heading": F.col("_row.heading"),
         "price": F.col("_row.price"),
         "reason": F.col("_row.reason"),
-        "_tail": F.col("_row.tail"),
     }
-    return wide.withColumns(found).drop("_lines", "_told", "_name", "_row", "_bare", "_split")
+    return wide.withColumns(found).drop("_row", "_bare", "_split")
 
 
 def chat_offers(messages: DataFrame, defaults: str | None = None) -> DataFrame:
@@ -48,10 +60,15 @@ def chat_offers(messages: DataFrame, defaults: str | None = None) -> DataFrame:
     warehouse of its own. Attributes come from the line, or from the whole message of a
     single offer.
     """
-    text = m.clean(F.col("text"))
-    rows = offer_lines(messages.withColumn("_wide", m.trade_terms(text)).withColumn("_unsure", m.several_places(text)))
-    rows = rows.withColumn("_own", m.trade_terms(F.concat_ws("\n", "_tail", "_scope")))
-    rows = rows.withColumn("_attributes", m.attributes(F.concat_ws(" ", "qty", "_scope")))
+    # A message about one product is read once: its own stretch holds all that the message states.
+    wide = _decided(messages)
+    lists = F.get("_rows", F.lit(0))["list"]
+    wide = wide.withColumn("_body", m.body(F.col("_lines"), F.col("_text"))).withColumn("_unsure", F.when(lists, m.several_places(F.col("_text"))))
+    wide = wide.withColumn("_scopes", m.scopes(F.col("_rows"), F.col("_lines"), F.col("_body")))
+    wide = wide.withColumn("_terms", F.transform(m.stretches(F.col("_rows"), F.col("_lines"), F.col("_scopes"), F.col("_body")), lambda t: m.trade_terms(t)))
+    wide = wide.withColumn("_wide", F.when(lists, F.element_at("_terms", -1)))
+    rows = _each(wide, lambda row, k: F.struct(row.alias("row"), F.get("_terms", k).alias("terms"), F.get("_scopes", k).alias("scope")))
+    rows = rows.withColumn("_own", F.col("_of.terms")).withColumn("_attributes", m.attributes(F.col("qty"), F.col("_of.scope")))
     terms, kinds = {}, {}
     if defaults:
         kinds = {f.name: f for f in rows.schema[defaults].dataType.fields}
@@ -63,4 +80,4 @@ def chat_offers(messages: DataFrame, defaults: str | None = None) -> DataFrame:
         terms[term] = F.coalesce(line, whole, given, F.lit(""))
         terms[f"{term}_source"] = F.when(line.isNotNull(), "line").when(whole.isNotNull(), "message").when(given.isNotNull(), "supplier").otherwise("")
     rows = rows.withColumns(terms | {a: F.col(f"_attributes.{a}") for a in ATTRIBUTES})
-    return rows.drop("_text", "_scope", "_tail", "_own", "_wide", "_unsure", "_attributes")
+    return rows.drop("_text", "_lines", "_rows", "_of", "_body", "_scopes", "_terms", "_own", "_wide", "_unsure", "_attributes")
