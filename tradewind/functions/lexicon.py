@@ -103,10 +103,19 @@ class Lexicon:
         return let(tokens, spans)
 
     def first(self, tokens: Sql, rule: str) -> Sql:
-        """The value of the token where a rule without anchors first hits; null without a hit."""
+        """The parts of the first hit of a rule without anchors, without places; null if none."""
         pattern = self.rule(rule)
-        before = S.length(S.regexp_extract(tokens["kinds"], f"^(.*?)(?:{pattern})", 1))
-        return S.when(tokens["kinds"].rlike(pattern), S.get(values(tokens["text"]), before))
+
+        def read(t: Sql) -> Sql:
+            before = S.length(S.regexp_extract(t["kinds"], f"^(.*?)(?:{pattern})", 1))
+
+            def parts(kinds: Sql) -> Sql:
+                hit = S.slice(values(t["text"]), before + 1, S.length(kinds))
+                return S.transform(hit, lambda v, k: S.struct(v.alias("value"), S.substring(kinds, k + 1, 1).alias("kind")))
+
+            return S.when(t["kinds"].rlike(pattern), let(S.regexp_extract(t["kinds"], pattern, 0), parts))
+
+        return let(tokens, read)
 
     def says(self, tokens: Sql, rule: str) -> Sql:
         """Whether a rule has a hit."""

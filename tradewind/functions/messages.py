@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.functions.lexicon import Lexicon, mapped, values
+from tradewind.functions.lexicon import Lexicon, mapped
 from tradewind.functions.spans import without
 from tradewind.functions.sqltext import S, Sql, let, on_columns
 
@@ -18,10 +18,13 @@ WAREHOUSE_ALIASES = {"Loendersloot": ["loen", "loendersloot"]}
 WAREHOUSES = ["Loendersloot", "NL", "Dubai", "Poland", "Riga", "Spain", "Vietnam", "Greece", "Indonesia", "Czech", "NewCorp", "Vergèze", "Bergamo"]
 TERM_LABELS = ["price", "offer", "moq", "qty", "quantity", "stock", "terms", "payment", "packaging", "available", "lead", "delivery", "bbd", "ean", "origin", "packing"]
 
+#: Each place has a set of its own, so that the letters of a text tell which ones it names. Names of
+#: sets have no digits.
+_PLACE = "place"
 WORDS = Lexicon(
     currency=PRICE_CURRENCIES, price_unit=PRICE_UNITS, case_unit=CASES, quantity_unit=QUANTITY_UNITS, item_unit=ITEM_UNITS, volume=VOLUMES,
     box=["case", "ctn", "carton", "box"], pallet=["pallet"], incoterm=[w for words in INCOTERMS.values() for w in words],
-    depot=[w.lower() for w in WAREHOUSES] + ["loen"], label=TERM_LABELS,
+    depot=[w.lower() for w in WAREHOUSES] + ["loen"], **{f"{_PLACE}{'_' * k}": WAREHOUSE_ALIASES.get(w, [w.lower()]) for k, w in enumerate(WAREHOUSES)}, label=TERM_LABELS,
     slash=["/"], per=["per"], dash=["-", "–", "—"], to=["to"], times=["x", "×"], colon=[":"], equals=["="], dot=["."], apostrophe=["'", "’"], question=["?"],
     a=["a"], in_=["in"], of=["of"], or_=["or"], number_word=["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"],
     ftl=["ftl", "fulltruck", "fulltruckload"], full=["full"], truck=["truck"], load=["load", "loads", "truckload", "truckloads"],
@@ -376,7 +379,12 @@ def _clip(value: Sql) -> Sql:
         at = S.get(_hits(v, "stop"), 0)["start"]
         return S.left(S.regexp_replace(S.when(at > 0, S.trim(S.left(v, at))).otherwise(v), "[,;/\\s]+\\z", ""), 60)
 
-    return S.nullif(let(first, stop), "")
+    return _unless(let(first, stop), "")
+
+
+def _unless(value: Sql, none: object) -> Sql:
+    """value, or null where it is none. nullif() in a lambda makes its value twice."""
+    return let(value, lambda v: S.when(v != none, v))
 
 
 def _stated(text: Sql, *readers) -> Sql:
@@ -405,14 +413,9 @@ def trade_terms(told: Sql) -> Sql:
     struct<text, kinds>."""
 
     def read(t: Sql) -> Sql:
-        def place(said: Sql) -> Sql:
-            alias = S.get(S.filter(said, lambda w: mapped(w, WAREHOUSE_ALIASES).isNotNull()), 0)
-            listed = S.get(S.filter(S.array(*WAREHOUSES), lambda w: S.array_contains(said, S.lower(w))), 0)
-            return S.coalesce(mapped(alias, WAREHOUSE_ALIASES), listed)
-
         def finish(w: Sql) -> Sql:
             text = t["text"]
-            known = let(WORDS.first(t, _RULES["incoterm"]), lambda code: S.when(code.isNotNull(), S.coalesce(mapped(code, INCOTERMS), S.lit("EXW"))))
+            known = let(S.get(WORDS.first(t, _RULES["incoterm"]), 0)["value"], lambda code: S.when(code.isNotNull(), S.coalesce(mapped(code, INCOTERMS), S.lit("EXW"))))
             lead = _stated(text, _behind("lead_label"), _matched("lead_first"), _matched("lead_before"))
             moq = _stated(text, _behind("moq_label"), _behind("minimum_label"))
             bond = S.when(text.rlike("\\bT1\\b"), "T1").when(text.rlike("(?i)\\bT2\\b"), "T2").when(_any(t, "duty_paid"), "Duty Paid").when(_any(t, "bonded"), "Bonded")
@@ -424,7 +427,9 @@ def trade_terms(told: Sql) -> Sql:
                 S.when(text.rlike("(?i)moq|minimum"), moq).alias("moq"),
             )
 
-        named = S.when(_any(t, "depot"), let(S.transform(values(t["text"]), lambda v: S.lower(v)), place))
+        # In the order of the list, places with aliases first.
+        order = sorted(range(len(WAREHOUSES)), key=lambda k: WAREHOUSES[k] not in WAREHOUSE_ALIASES)
+        named = S.coalesce(*(S.when(WORDS.says(t, _PLACE + "_" * k), WAREHOUSES[k]) for k in order))
         return let(named, finish)
 
     return let(told, read)
@@ -445,19 +450,18 @@ def attributes(qty: Sql, scope: Sql) -> Sql:
         text = t["text"]
 
         def number(rule: str) -> Sql:
-            hit = S.get(WORDS.hits(t, _RULES[rule]), 0)
-            digits = S.array_join(S.transform(S.filter(hit["parts"], lambda p: S.contains(WORDS.classes["number"], p["kind"])), lambda p: S.regexp_replace(p["value"], "[.,]", "")), "")
-            return S.nullif(digits.try_cast("bigint"), 0)
+            digits = S.array_join(S.transform(S.filter(WORDS.first(t, _RULES[rule]), lambda p: S.contains(WORDS.classes["number"], p["kind"])), lambda p: S.regexp_replace(p["value"], "[.,]", "")), "")
+            return _unless(digits.try_cast("bigint"), 0)
 
         date = "(?i)\\bbbd\\b\\s*[:-]?\\s*([0-9]{1,4}(?:[./-][0-9]{1,4}){1,2})"
         ranged = S.regexp_extract(text, date + "(\\s*(?:[-–]|to)\\s*[0-9])?", 2) != ""
-        ean = WORDS.pick(S.get(WORDS.hits(t, _RULES["ean"]), 0)["parts"], "number")
+        ean = WORDS.pick(WORDS.first(t, _RULES["ean"]), "number")
         return S.struct(
             number("stock").alias("stock_cases"),
             number("per_pallet").alias("cases_per_pallet"),
             S.coalesce(number("per_case"), number("packing")).alias("pcs_case"),
-            S.when(text.rlike("(?i)bbd"), S.when(~ranged, S.nullif(S.regexp_extract(text, date, 1), ""))).alias("bbd"),
-            S.when(ean.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), ean).alias("ean"),
+            S.when(text.rlike("(?i)bbd"), S.when(~ranged, _unless(S.regexp_extract(text, date, 1), ""))).alias("bbd"),
+            let(ean, lambda v: S.when(v.rlike("^(?:[0-9]{8}|[0-9]{12,14})$"), v)).alias("ean"),
         )
 
     return let(S.struct(S.concat_ws(" ", qty, scope["text"]).alias("text"), S.concat(WORDS.letters(qty), scope["kinds"]).alias("kinds")), read)
